@@ -25,6 +25,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside a lambda an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def chars_in(text: Column, letters: str) -> Column:
     """How many characters of `text` are one of `letters`."""
     return F.length(text) - F.length(F.translate(text, letters, ""))
@@ -100,7 +105,7 @@ class MolType:
     def random_disambiguate(self, s: Column | str, seed: int = 0) -> Column:
         """Each ambiguity code as one of its letters, chosen by a hash of sequence, place and seed: the same in every run."""
         options = literal_map({k: v for k, v in self.codes.items()})
-        picked = F.transform(F.split(col(s), ""), lambda c, i: F.coalesce(self._pick(options[c], F.xxhash64(col(s), i, F.lit(seed))), c))
+        picked = let(F.xxhash64(col(s), F.lit(seed)), lambda h: F.transform(F.split(col(s), ""), lambda c, i: F.coalesce(self._pick(options[c], F.xxhash64(h, i)), c)))
         return F.array_join(picked, "")
 
     @staticmethod

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .moltype import DNA, GAP, MISSING, MolType, chars_in, col, literal_map, quoted
+from .moltype import DNA, GAP, MISSING, MolType, chars_in, col, let, literal_map, quoted
 
 
 def kmers(s: Column | str, k: int, strict: MolType | None = None) -> Column:
@@ -106,17 +106,17 @@ def with_termini_unknown(s: Column | str) -> Column:
 
 def shuffled(s: Column | str, seed: int) -> Column:
     """The characters in an order given by a hash of sequence, place and seed."""
-    keyed = F.transform(F.split(col(s), ""), lambda c, i: F.struct(F.xxhash64(col(s), i, F.lit(seed)), c.alias("c")))
+    keyed = let(F.xxhash64(col(s), F.lit(seed)), lambda h: F.transform(F.split(col(s), ""), lambda c, i: F.struct(F.xxhash64(h, i).alias("k"), c.alias("c"))))
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
 
 
 def sampled(s: Column | str, n: int, seed: int, motif: int = 1, replace: bool = False) -> Column:
     """n motifs drawn by hash: with replacement, or the first n of a shuffled order."""
-    words = motifs(s, motif)
+    words, h = motifs(s, motif), F.xxhash64(col(s), F.lit(seed))
     if replace:
-        at = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.pmod(F.xxhash64(col(s), i, F.lit(seed)), F.size(words)).cast("int"))
-        return F.array_join(F.transform(at, lambda i: F.element_at(words, i + 1)), "")
-    keyed = F.transform(words, lambda w, i: F.struct(F.xxhash64(col(s), i, F.lit(seed)), w.alias("w")))
+        pick = lambda w: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(w["w"], F.pmod(F.xxhash64(w["h"], i), F.size(w["w"])).cast("int") + 1))
+        return F.array_join(let(F.struct(words.alias("w"), h.alias("h")), pick), "")
+    keyed = let(h, lambda k: F.transform(words, lambda w, i: F.struct(F.xxhash64(k, i).alias("k"), w.alias("w"))))
     return F.array_join(F.transform(F.slice(F.array_sort(keyed), 1, n), lambda x: x["w"]), "")
 
 

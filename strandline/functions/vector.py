@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .moltype import col
+from .moltype import col, let
 
 
 def total(v: Column | str) -> Column:
@@ -33,13 +33,11 @@ def _rows(a: Column, b: Column, both_zero: float, one_zero: float, otherwise: Co
 
 # transforms
 def trans_chord(v: Column | str) -> Column:
-    norm = F.sqrt(squares(v))
-    return F.when(norm == 0, col(v)).otherwise(F.transform(col(v), lambda x: x / norm))
+    return let(F.sqrt(squares(v)), lambda norm: F.transform(col(v), lambda x: F.when(norm == 0, x).otherwise(x / norm)))
 
 
 def trans_specprof(v: Column | str) -> Column:
-    s = total(v)
-    return F.when(s == 0, col(v)).otherwise(F.transform(col(v), lambda x: x / s))
+    return let(total(v), lambda s: F.transform(col(v), lambda x: F.when(s == 0, x).otherwise(x / s)))
 
 
 def trans_hellinger(v: Column | str) -> Column:
@@ -58,8 +56,8 @@ def column_ranges(rows: DataFrame, v: str = "v") -> DataFrame:
 
 
 def trans_chisq(v: Column | str, colsum: Column, grand: Column) -> Column:
-    s = total(v)
-    return F.zip_with(col(v), colsum, lambda x, c: F.sqrt(grand) * x / (F.when(s == 0, 1.0).otherwise(s) * F.sqrt(F.when(c == 0, 1.0).otherwise(c))))
+    safe = lambda x: F.when(x == 0, 1.0).otherwise(x)
+    return let(total(v), lambda s: F.zip_with(col(v), colsum, lambda x, c: F.sqrt(grand) * x / (safe(s) * F.sqrt(safe(c)))))
 
 
 # distances
@@ -133,12 +131,12 @@ def abund_jaccard(a, b) -> Column:
 
 
 def pearson(a, b) -> Column:
-    n = F.size(col(a))
-    ma, mb = total(a) / n, total(b) / n
-    va = total(F.transform(col(a), lambda x: (x - ma) * (x - ma)))
-    vb = total(F.transform(col(b), lambda x: (x - mb) * (x - mb)))
-    r = fold(a, b, lambda x, y: (x - ma) * (y - mb)) / F.sqrt(va * vb)
-    return F.when((va == 0) & (vb == 0), 0.0).when((va == 0) | (vb == 0), 1.0).otherwise(1 - r)
+    """1 - r, from sums alone; rows of one value each are equal, one such row is unlike any other."""
+    n = F.size(col(a)).cast("double")
+    flat_a, flat_b = F.array_min(col(a)) == F.array_max(col(a)), F.array_min(col(b)) == F.array_max(col(b))
+    va, vb = n * squares(a) - total(a) * total(a), n * squares(b) - total(b) * total(b)
+    r = (n * fold(a, b, lambda x, y: x * y) - total(a) * total(b)) / F.sqrt(va * vb)
+    return F.when(flat_a & flat_b, 0.0).when(flat_a | flat_b, 1.0).otherwise(1 - r)
 
 
 def average_ranks(v: Column | str) -> Column:
@@ -226,27 +224,23 @@ def jsm(*vectors: Column | str) -> Column:
 
 # compositions
 def clr(v: Column | str) -> Column:
-    mean = total(F.transform(col(v), F.ln)) / F.size(col(v))
-    return F.transform(col(v), lambda x: F.ln(x) - mean)
+    return let(total(F.transform(col(v), F.ln)) / F.size(col(v)), lambda mean: F.transform(col(v), lambda x: F.ln(x) - mean))
 
 
 def clr_inv(v: Column | str) -> Column:
-    e = F.transform(col(v), F.exp)
-    return F.transform(e, lambda x: x / total(e))
+    return trans_specprof(F.transform(col(v), F.exp))
 
 
 def alr(v: Column | str, at: int = -1) -> Column:
     """Log ratios to the component `at`, which goes."""
     n = F.size(col(v))
     place = n + at if at < 0 else F.lit(at)
-    under = F.element_at(col(v), place + 1)
-    return F.transform(F.filter(col(v), lambda x, i: i != place), lambda x: F.ln(x / under))
+    return let(F.element_at(col(v), place + 1), lambda under: F.transform(F.filter(col(v), lambda x, i: i != place), lambda x: F.ln(x / under)))
 
 
 def alr_inv(v: Column | str) -> Column:
     """Proportions whose last component was the base."""
-    e = F.concat(F.transform(col(v), F.exp), F.array(F.lit(1.0)))
-    return F.transform(e, lambda x: x / total(e))
+    return trans_specprof(F.concat(F.transform(col(v), F.exp), F.array(F.lit(1.0))))
 
 
 def aitchison(a, b) -> Column:
@@ -256,8 +250,7 @@ def aitchison(a, b) -> Column:
 def multiplicative_replacement(v: Column | str, eps: float = 0.01) -> Column:
     """Entries below delta, the smallest that isn't 0 times eps, grow by delta; then the sum is 1 again."""
     delta = F.array_min(F.filter(col(v), lambda x: x > 0)) * eps
-    grown = F.transform(col(v), lambda x: F.when(x < delta, x + delta).otherwise(x))
-    return F.transform(grown, lambda x: x / total(grown))
+    return trans_specprof(let(delta, lambda d: F.transform(col(v), lambda x: F.when(x < d, x + d).otherwise(x))))
 
 
 def degeneracy(v: Column | str, cutoff: float = 0.5) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.genetic_code import GeneticCode, get_code
-from ..functions.moltype import DNA, GAP, MISSING, MolType, chars_in, literal_map, quoted
+from ..functions.moltype import DNA, GAP, MISSING, MolType, chars_in, let, literal_map, quoted
 from ..functions.sequence import kmers, motifs, windows
 
 
@@ -197,9 +197,8 @@ def take_columns(aln: DataFrame, kept: DataFrame, k: int = 1) -> DataFrame:
     """The rows with only the motif columns of `kept` (pos). The kept places are one sorted array, a row's length at most."""
     places = F.broadcast(kept.agg(F.array_sort(F.collect_set("pos")).alias("__kept")))
     words = F.split("seq", "") if k == 1 else motifs("seq", k)
-    rows = aln.crossJoin(places).withColumn("__words", words)
-    text = F.array_join(F.transform(F.col("__kept"), lambda p: F.try_element_at(F.col("__words"), p + 1)), "")
-    return rows.withColumn("seq", text).drop("__kept", "__words")
+    text = F.array_join(let(words, lambda w: F.transform(F.col("__kept"), lambda p: F.try_element_at(w, p + 1))), "")
+    return aln.crossJoin(places).withColumn("seq", text).drop("__kept")
 
 
 def columns_where(aln: DataFrame, test: Column, k: int = 1) -> DataFrame:

@@ -14,7 +14,12 @@ from ..functions.moltype import DNA
 from ..session import ship
 from .intervals import interval_join, overlaps, spans_clipped, spans_covering, spans_merged, spans_shadow, spans_slice, strand
 
-SCHEMA = T.StructType.fromDDL("seqid string, source string, biotype string, name string, parent_id string, start bigint, stop bigint, strand tinyint, spans array<struct<start:bigint,stop:bigint>>, attributes string, on_alignment boolean")
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+SCHEMA = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("seqid", "source", "biotype", "name", "parent_id")]
+    + [T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("strand", T.ByteType()), T.StructField("spans", T.ArrayType(_SPAN))]
+    + [T.StructField("attributes", T.StringType()), T.StructField("on_alignment", T.BooleanType())]
+)
 
 
 def feature_rows(df: DataFrame) -> DataFrame:

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import windows
 
-ROW = W.partitionBy("row")
+
+def _row() -> WindowSpec:
+    return W.partitionBy("row")
 
 
 def to_freqs(counts: DataFrame, pseudocount: float = 0.0) -> DataFrame:
     """Proportions by row; the pseudocount goes to empty cells only."""
     n = F.when(F.col("n") == 0, F.lit(pseudocount)).otherwise(F.col("n").cast("double"))
-    return counts.select("row", "motif", n.alias("n")).select("row", "motif", (F.col("n") / F.sum("n").over(ROW)).alias("p"))
+    return counts.select("row", "motif", n.alias("n")).select("row", "motif", (F.col("n") / F.sum("n").over(_row())).alias("p"))
 
 
 def full_grid(counts: DataFrame, motifs: str) -> DataFrame:
@@ -27,7 +29,7 @@ def full_grid(counts: DataFrame, motifs: str) -> DataFrame:
 
 def to_pssm(freqs: DataFrame, background: dict[str, float] | None = None) -> DataFrame:
     """log2 of the proportion over the background's (equal shares by default); a zero proportion scores as log2 1 = 0."""
-    n = F.count(F.lit(1)).over(ROW)
+    n = F.count(F.lit(1)).over(_row())
     bg = F.create_map(*[F.lit(x) for kv in background.items() for x in kv])[F.col("motif")] if background else 1 / n
     logp = F.when(F.col("p") > 0, F.log2("p")).otherwise(0.0)
     return freqs.select("row", "motif", (logp - F.log2(bg)).alias("score"))
@@ -57,7 +59,7 @@ def information(freqs: DataFrame) -> DataFrame:
 
 def relative_entropy(freqs: DataFrame, background: dict[str, float] | None = None) -> DataFrame:
     """Of the background against each row: Σ b · (log2 b - log2 p), zero proportions as log2 1."""
-    n = F.count(F.lit(1)).over(ROW)
+    n = F.count(F.lit(1)).over(_row())
     b = F.create_map(*[F.lit(x) for kv in background.items() for x in kv])[F.col("motif")] if background else 1 / n
     term = b * (F.log2(b) - F.when(F.col("p") > 0, F.log2("p")).otherwise(0.0))
     return freqs.select("row", term.alias("t")).groupBy("row").agg(F.sum("t").alias("relative_entropy"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-ERROR = T.StructType.fromDDL("type string, origin string, message string, source string")
+ERROR = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "origin", "message", "source")])
 KINDS = ("loader", "generic", "writer", "non_composable")
 
 

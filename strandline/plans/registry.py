@@ -31,3 +31,6 @@ def table_group_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("min_qty"), F.max("l_extendedprice").alias("max_price"))
+
+
+from . import alignment_queries, interval_queries, sequence_queries, stat_queries, table_queries  # noqa: E402, F401
