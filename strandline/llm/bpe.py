@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words in the lexicon.
 LEXICON = 32_768
 #: Pieces of text whose ids a worker keeps; words a task counts before it hands them on.
-CACHE, COUNTED = 400_000, 400_000
+CACHE, COUNTED = 500_000, 400_000
 #: Words up to this many bytes are merged by scanning, longer ones by a heap.
 SCAN = 48
 
@@ -64,6 +67,10 @@ class Vocabulary:
             a, b = (bytes(letters[c] for c in part) for part in (m if isinstance(m, list) else m.split(" ")))
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
         self.ids = ids
+        # where ids follow the ranks, the public library's compiled loop merges the same way
+        ordered = all(i == r + 256 for r, i in self.merges.values()) and len(ids) == 256 + len(self.merges)
+        self.compiled = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={}) if ordered else None
+        self.merge_short = self.compiled._core_bpe.encode_single_piece if ordered else self.merge
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -201,26 +208,38 @@ class Lexicon:
         return place
 
 
+def _packed(ids: list[int]) -> bytes:
+    a = array("i", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None) -> None:
         self.vocab, self.lexicon = vocab, lexicon
         self.inner: dict[str, bytes] = {}  # ids of what follows a space, the space with it
         self.first: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # inner's last generation: what is met again moves on, the rest is forgotten
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         raw = [w.encode("utf-8") for w in words]
         place = self.lexicon.places(raw) if self.lexicon else np.full(len(raw), -1)
-        out = {}
+        out, short = {}, self.vocab.merge_short
         for w, r, p in zip(words, raw, place.tolist()):
             if p >= 0:
                 out[w] = self.lexicon.ids[self.lexicon.offsets[p] : self.lexicon.offsets[p + 1]].tobytes()
             else:
-                out[w] = np.array(self.vocab.merge(r), dtype="<i4").tobytes()
+                out[w] = _packed(short(r) if len(r) <= SCAN else self.vocab.merge(r))
         return out
 
     def _learn(self, inner: list[str], first: list[str]) -> None:
-        split = [(_SPLIT.findall(" " + c), self.inner, c) for c in inner] + [(_SPLIT.findall(c), self.first, c) for c in first]
-        ids = self._words(list(dict.fromkeys(w for ws, _, _ in split for w in ws)))
+        plain = [c for c in inner if c.isalpha()]  # letters alone are one word
+        split = [(_SPLIT.findall(" " + c), self.inner, c) for c in inner if not c.isalpha()] + [(_SPLIT.findall(c), self.first, c) for c in first]
+        words = dict.fromkeys(" " + c for c in plain)
+        words.update(dict.fromkeys(w for ws, _, _ in split for w in ws))
+        ids = self._words(list(words))
+        self.inner.update((c, ids[" " + c]) for c in plain)
         for ws, held, c in split:
             held[c] = b"".join([ids[w] for w in ws])
 
@@ -230,9 +249,8 @@ class Encoder:
         No word of the pattern crosses a space before something else than white space, so texts are cut there and
         the pieces kept; texts in which white space follows a space are split by the pattern as a whole.
         """
-        if len(self.inner) + len(self.first) > CACHE:
-            self.inner.clear()
-            self.first.clear()
+        if len(self.inner) + len(self.first) > CACHE // 2:
+            self.before, self.inner, self.first = self.inner, {}, {}
         cut = self.vocab.cut
         parts: list[list[tuple[str | None, list[str]]]] = []
         inner, first = set(), set()
@@ -247,7 +265,11 @@ class Encoder:
                     first.add(pieces[0])
                     inner.update(pieces[1:])
             parts.append(mine)
-        new, fresh = [c for c in inner if c not in self.inner], [c for c in first if c not in self.first]
+        new = [c for c in inner if c not in self.inner]
+        if self.before:
+            self.inner.update((c, self.before[c]) for c in new if c in self.before)
+            new = [c for c in new if c not in self.before]
+        fresh = [c for c in first if c not in self.first]
         if new or fresh:
             self._learn(new, fresh)
         ids, starts = self.inner.__getitem__, self.first.__getitem__
@@ -257,7 +279,8 @@ class Encoder:
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON) -> list[str]:
     """The most frequent words of all texts, in the order of counts and then of words.
 
-    A task hands on its counts over 1 only: a word seen once in each share isn't among the frequent ones.
+    A task counts pieces between spaces and splits those it saw twice or more: what is seen once in each share isn't
+    among the frequent ones.
     """
     small_batches(docs.sparkSession)
 
@@ -267,16 +290,14 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
         def words() -> pa.RecordBatch:
             out: Counter = Counter()
             for p, n in pieces.items():
-                for w in _SPLIT.findall(p):
-                    out[w] += n
-            kept = {w: n for w, n in out.items() if n > 1}
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
+                if n > 1:
+                    for w in [" " + p] if p.isalpha() else _SPLIT.findall(" " + p):
+                        out[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for t in b.column(0):
-                first, *rest = (t.as_py() or "").split(" ")
-                pieces[first] += 1
-                pieces.update([" " + r for r in rest])
+                pieces.update((t.as_py() or "").split(" "))
             if len(pieces) > COUNTED:
                 yield words()
                 pieces.clear()
