@@ -40,7 +40,8 @@ def gamma_q(a: float, x: float) -> float:
 
 
 def chi2_sf(x: float, df: int) -> float:
-    return 1.0 if x <= 0 else gamma_q(df / 2, x / 2)
+    """NaN without a degree of freedom."""
+    return math.nan if df < 1 else 1.0 if x <= 0 else gamma_q(df / 2, x / 2)
 
 
 def normal_sf(z: float) -> float:

@@ -1,10 +1,11 @@
 """Exact top-k by inner product through a dual-tree search over cover trees.
 
-Vectors are dealt to cells around pivots (the topmost level of the tree, at most `PIVOTS`) and cells to blocks of
-about `BLOCK` rows. A task holds queries and candidates of one cell each, builds a cover tree over either and visits
+Vectors are dealt to cells around pivots (the topmost level of the tree, at most `PIVOTS`), small cells join to groups
+and large ones are cut, into blocks of about `BLOCK` rows. A task holds a block of queries and one of candidates, builds a cover tree over either and visits
 pairs of nodes: the inner product of any two members is at most c·d + r|d| + s|c| + rs for centres c, d and radii r,
-s, and a pair of nodes goes once that is below the worst kth score of the query node. The first round searches each
-cell's own candidates; its worst kth score then rules out other cells as a whole, and the second round visits the rest.
+s, and a pair of nodes goes once that is below the worst kth score of the query node. The first round searches the
+blocks of each query's own cell; a cell's worst kth score then rules out blocks as a whole, and the second round
+visits the rest.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import materialise, small_batches
 
 PIVOTS, SAMPLE = 32, 2048
 #: Rows of a block of candidates; of queries, a quarter.
-BLOCK = 16_384
+BLOCK = 8192
 LEAF, SHRINK = 128, 1.4
 SLACK = 1e-9
 
@@ -164,12 +165,24 @@ def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def _groups(rows: dict[tuple[int, int], int], block: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each (dimension, cell) its group and the parts that the group is cut to: small cells of a dimension share one."""
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    group, held, last = -1, 0, None
+    for (d, c), n in sorted(rows.items()):
+        if d != last or held + n > block:
+            group, held, last = group + 1, 0, d
+        held += n
+        out[d, c] = (group, max(1, -(-n // block)))
+    return out
+
+
 def top_k(table: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, <id_col>, score): for each row that `queries` (a SQL condition on the id, there called id) keeps, the k largest inner
     products with other rows of its dimension, ties to the smaller id; all, if there are fewer.
 
     Of candidates with the same vector only the k + 1 smallest ids can rank, so a vector that many rows share is cut
-    to these before it is dealt. See valid_vectors for what takes part. An empty table gives an empty result.
+    to these before it is dealt. See valid_vectors for what takes part. A score beyond a long is cut to its range. An empty table gives an empty result.
     """
     spark = table.sparkSession
     small_batches(spark, 10_000)
@@ -196,15 +209,23 @@ def top_k(table: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id", v
     side_c = {(r.dim, r.cell): (r.n, r.far) for r in cells.collect()}
     side_q = {(r.dim, r.cell): (r.n, r.far) for r in groups.collect()}
 
-    def run(pairs: dict[tuple[int, int], list[int]], q: DataFrame) -> DataFrame:
-        """Queries of a cell against the candidates of the listed cells, by blocks."""
-        plan = [(d, qc, cc, max(1, -(-4 * side_q[d, qc][0] // block)), max(1, -(-side_c[d, cc][0] // block))) for (d, qc), to in pairs.items() for cc in to]
-        small = spark.createDataFrame(plan, "dim int, qcell long, ccell long, qn int, cn int")
-        key = lambda a, b: F.xxhash64("dim", "qcell", "ccell", a, b)
-        mine = q.withColumnRenamed("cell", "qcell").join(F.broadcast(small), ["dim", "qcell"]).withColumn("part", F.pmod(F.xxhash64("id"), "qn"))
-        left = mine.select("id", "v", "floor", F.lit(True).alias("ask"), F.explode(F.transform(F.sequence(F.lit(0), F.col("cn") - 1), lambda j: key(F.col("part").cast("int"), j))).alias("key"))
-        theirs = few.withColumnRenamed("cell", "ccell").join(F.broadcast(small), ["dim", "ccell"]).withColumn("part", F.pmod(F.xxhash64("id"), "cn"))
-        right = theirs.select("id", "v", F.lit(None).cast("double").alias("floor"), F.lit(False).alias("ask"), F.explode(F.transform(F.sequence(F.lit(0), F.col("qn") - 1), lambda j: key(j, F.col("part").cast("int")))).alias("key"))
+    q_of, c_of = _groups({k: v[0] for k, v in side_q.items()}, block // 4), _groups({k: v[0] for k, v in side_c.items()}, block)
+
+    def sides(of: dict[tuple[int, int], tuple[int, int]], cell: str, group: str, parts: str) -> DataFrame:
+        rows = [(d, c, g, n) for (d, c), (g, n) in of.items()]
+        return F.broadcast(spark.createDataFrame(rows, f"dim int, {cell} long, {group} int, {parts} int"))  # a row per cell
+
+    def run(pairs: set[tuple[int, int]], q: DataFrame) -> DataFrame:
+        """Queries of a group against the candidates of the groups paired with it, by blocks."""
+        q_parts, c_parts = dict(q_of.values()), dict(c_of.values())
+        to = F.broadcast(spark.createDataFrame([(a, b, q_parts[a], c_parts[b]) for a, b in sorted(pairs)], "qg int, cg int, qn int, cn int"))
+        key = lambda x, y: F.xxhash64("qg", "cg", x, y)
+        part = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        mine = q.join(sides(q_of, "cell", "qg", "n"), ["dim", "cell"]).withColumn("part", part).join(to, "qg")
+        left = mine.select("id", "v", "floor", F.lit(True).alias("ask"), F.explode(F.transform(every("cn"), lambda j: key("part", j))).alias("key"))
+        theirs = few.join(sides(c_of, "cell", "cg", "n"), ["dim", "cell"]).withColumn("part", part).join(to, "cg")
+        right = theirs.select("id", "v", F.lit(None).cast("double").alias("floor"), F.lit(False).alias("ask"), F.explode(F.transform(every("qn"), lambda j: key(j, "part"))).alias("key"))
 
         def one(f: pa.Table) -> pa.Table:
             ask = f["ask"].to_numpy(zero_copy_only=False)
@@ -218,27 +239,28 @@ def top_k(table: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id", v
             else:
                 s, at = _plain(a, ids[ask], c, ids[~ask], k)
             i, j = np.nonzero(s > -np.inf)
-            return pa.table({"query_id": ids[ask][i], "id": ids[~ask][at[i, j]], "score": pa.array([int(v) for v in s[i, j]], pa.int64())})
+            return pa.table({"query_id": ids[ask][i], "id": ids[~ask][at[i, j]], "score": pa.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s[i, j]], pa.int64())})
 
         return left.unionByName(right).groupBy("key").applyInArrow(one, "query_id long, id long, score long")
 
     none = F.lit(None).cast("double")
-    home = {c: [c[1]] for c in side_q if c in side_c}
+    home = {(q_of[c][0], c_of[c][0]) for c in side_q if c in side_c}
     empty = spark.createDataFrame([], "query_id long, id long, score long")
     first = materialise(run(home, asked.withColumn("floor", none)), "own") if home else empty
     kth = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     floors = first.withColumn("rank", F.row_number().over(kth)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
     asked = materialise(asked.join(floors, "id", "left"), "asked")
     worst = {(r.dim, r.cell): r.w for r in asked.groupBy("dim", "cell").agg(F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("w")).collect()}
-    rest: dict[tuple[int, int], list[int]] = {}
+    rest: set[tuple[int, int]] = set()
     for (d, qc), (_, r) in side_q.items():
         p = pivots.value[d] if d in pivots.value else np.zeros((1, d))
         for dd, cc in side_c:
-            if dd == d and cc != qc:
+            if dd == d:
                 s = side_c[d, cc][1]
                 ub = float(p[qc] @ p[cc]) + r * float(np.linalg.norm(p[cc])) + s * float(np.linalg.norm(p[qc])) + r * s
                 if ub * (1 + SLACK * np.sign(ub)) + 1e-6 >= worst[d, qc]:
-                    rest.setdefault((d, qc), []).append(cc)
+                    rest.add((q_of[d, qc][0], c_of[d, cc][0]))
+    rest -= home
     every = first.unionByName(run(rest, asked)) if rest else first
     ranked = every.withColumn("rank", F.row_number().over(kth)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

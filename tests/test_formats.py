@@ -36,6 +36,7 @@ def test_gff(spark):
 GENBANK = """LOCUS       AB1 12 bp DNA
 DEFINITION  a record
             of two lines.
+SOURCE      human
   ORGANISM  Homo sapiens
 FEATURES             Location/Qualifiers
      source          1..12

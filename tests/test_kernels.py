@@ -184,3 +184,21 @@ def test_apps(spark):
     assert apps.available_apps(spark).count() > 10
     with pytest.raises(TypeError):
         apps.App("w", lambda d: d, "writer") + app
+
+
+def test_selection_tests(spark):
+    from strandline.operators.natsel import natsel
+
+    rows = [("f", n, s) for n, s in {"a": "ATGGCTAAACCCGGGTTT", "b": "ATGGCAAAGCCCGGATTT", "c": "ATGGCTAAACCAGGGTTC", "d": "ATGGCGAAACCCGGGTTC"}.items()]
+    df = spark.createDataFrame(rows + [("g", "a", "ATG")], "family string, name string, seq string")
+    out = {r.family: r for r in natsel(df, "neutral", steps=4).collect()}
+    assert out["f"].df == 1 and out["f"].omega < 1 and out["f"].lnl_alt >= out["f"].lnl_null - 1e-6
+    assert out["g"].LR is None
+    assert natsel(df.filter("family = 'f'"), "zhang", foreground=["a"], steps=2).first().df == 1
+
+
+def test_empirical_protein_model():
+    text = " ".join(["1"] * 190 + ["0.05"] * 20)
+    model, freqs = L.empirical_protein("flat", text)
+    q = model.q(np.full(20, 0.05), {})
+    assert q.sum(axis=1) == pytest.approx(np.zeros(20)) and sum(freqs.values()) == pytest.approx(1)
