@@ -1,11 +1,11 @@
 """Exact top-k by inner product through a dual-tree search over cover trees.
 
 Vectors are dealt to cells around pivots (the topmost level of the tree, at most `PIVOTS`), small cells join to groups
-and large ones are cut, into blocks of about `BLOCK` rows. A task holds a block of queries and one of candidates, builds a cover tree over either and visits
-pairs of nodes: the inner product of any two members is at most c·d + r|d| + s|c| + rs for centres c, d and radii r,
-s, and a pair of nodes goes once that is below the worst kth score of the query node. The first round searches the
-blocks of each query's own cell; a cell's worst kth score then rules out blocks as a whole, and the second round
-visits the rest.
+and large ones are cut, into blocks of about `BLOCK` rows. A task holds a block of queries and one of candidates, builds
+a cover tree over either and visits pairs of nodes: the inner product of any two members is at most
+c·d + r|d| + s|c| + rs for centres c, d and radii r, s, and a pair of nodes goes once that is below the worst kth score
+of the query node. The first round searches the blocks of each query's own cell; a cell's worst kth score then rules
+out blocks as a whole, and the second round visits the rest.
 """
 
 from __future__ import annotations
