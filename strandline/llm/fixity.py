@@ -89,10 +89,11 @@ def audit(first: DataFrame, second: DataFrame, levels: int = LEVELS, fan: int =
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
     """The pages as uncompressed WARC files, one folder per file number, through Spark's own writer."""
-    record = warc_record(F.col(url_col), F.col(body_col), F.col(id_col)).alias("value")
+    record = warc_record(F.col(url_col), F.col(body_col), F.col(id_col))
+    record = F.substring(record, F.lit(1), F.length(record) - 1).alias("value")  # the writer ends each row with its last line feed
     archive = F.coalesce(F.floor(F.col(id_col) / FILE_RECORDS).cast("long"), F.lit(-1).cast("long")).alias("archive")
     rows = pages.select(record, archive, F.col(id_col).alias("__id"))
-    rows.repartition("archive").sortWithinPartitions("archive", "__id").select("value", "archive").write.partitionBy("archive").option("lineSep", "").mode("overwrite").text(path)
+    rows.repartition("archive").sortWithinPartitions("archive", "__id").select("value", "archive").write.partitionBy("archive").option("lineSep", "\n").mode("overwrite").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -210,6 +210,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = measure(now)
         if seen == before:
             break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components aren't settled after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -145,13 +145,13 @@ def score(docs: DataFrame, weights: Weights | None, id_col: str = "doc_id", text
         w = m.dense() if m else None
         words = Words()
         for b in batches:
-            total = np.full(b.num_rows, m.bias if m else -np.inf)
+            total = np.full(b.num_rows, m.bias if m else 0.0)
             for i, t in enumerate(b.column(1) if m else []):
                 h = words.hashes(t.as_py())
                 if len(h):
                     x = coordinates(h, m.bits)
                     x = np.unique(x[w[x] != 0])
                     total[i] += w[x].sum(dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))) if m else total)], [id_col, "score"])
 
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, score double")
