@@ -202,3 +202,13 @@ def test_empirical_protein_model():
     model, freqs = L.empirical_protein("flat", text)
     q = model.q(np.full(20, 0.05), {})
     assert q.sum(axis=1) == pytest.approx(np.zeros(20)) and sum(freqs.values()) == pytest.approx(1)
+
+
+def test_optimisers():
+    from strandline.functions import optimise as O
+
+    assert O.bisection(lambda x: x**3 - 2, 0, 2) == pytest.approx(2 ** (1 / 3))
+    assert O.line_minimum(lambda x: (x - 1.5) ** 2, -4, 9)[0] == pytest.approx(1.5, abs=1e-6)
+    banana = lambda v: (1 - v[0]) ** 2 + 5 * (v[1] - v[0] ** 2) ** 2
+    assert O.powell(banana, [-1.0, 0.5]) == pytest.approx([1, 1], abs=1e-2)
+    assert O.maximise(lambda v: math.cos(3 * v[0]) - 0.1 * v[0] ** 2, [4.0], -5, 5) == pytest.approx([0], abs=1e-3)
