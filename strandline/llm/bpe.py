@@ -25,14 +25,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
 
 #: The pattern of the byte-level vocabularies, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the lexicon.
 LEXICON = 32_768
 #: Pieces of text whose ids a worker keeps; words a task counts before it hands them on.
-CACHE, COUNTED = 500_000, 400_000
+CACHE, COUNTED = 320_000, 300_000
 #: Words up to this many bytes are merged by scanning, longer ones by a heap.
 SCAN = 48
 
@@ -276,8 +276,9 @@ class Encoder:
         return [b"".join([np.array([self.vocab.special[s]], "<i4").tobytes() if s is not None else starts(p[0]) + b"".join(map(ids, p[1:])) for s, p in mine]) for mine in parts]
 
 
-def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON) -> list[str]:
-    """The most frequent words of all texts, in the order of counts and then of words.
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON) -> list[str]:
+    """Up to `most` of the most frequent words of all texts, in the order of counts and then of words: all words of the
+    size classes of counts that fit, so no more than `most` rows reach the driver, whatever the number of tasks.
 
     A task counts pieces between spaces and splits those it saw twice or more: what is seen once in each share isn't
     among the frequent ones.
@@ -304,8 +305,19 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
         yield words()
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r[0] for r in top.collect()]
+    words_n = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    step = F.floor(F.log2("n") * 32).cast("int")  # counts by size, some 2,000 sizes at most, tell where to cut
+    sizes = sorted(((r[0], r[1]) for r in words_n.groupBy(step.alias("size")).count().collect()), reverse=True)
+    held, cut = 0, None
+    for size, n in sizes:
+        held += n
+        if held > most:
+            break
+        cut = size
+    if cut is None:
+        return []
+    found = words_n.filter(step >= cut).collect()
+    return [r[0] for r in sorted(found, key=lambda r: (-r[1], r[0]))]
 
 
 def lexicon(words: list[str], path: str) -> bytes:
@@ -325,7 +337,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Special tokens of the vocabulary that stand in a text become their ids, as in the public library.
     """
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(blob if blob is not None else lexicon(frequent_words(docs, path, text_col), path))
+    shared = spark.sparkContext.broadcast(blob if blob is not None else lexicon(frequent_words(docs, text_col), path))
     small_batches(spark)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
