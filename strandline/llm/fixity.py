@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 FAN = 16
 #: Records in a file, so levels above the leaves: FAN ** LEVELS records at most.
 FILE_RECORDS, LEVELS = 1024, 3
+#: Files that records without id are dealt to.
+NULL_FILES = 4096
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -35,16 +37,20 @@ def warc_record(url: Column, body: Column, record_id: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+def _archive(page: Column, record: Column) -> Column:
+    return F.coalesce(F.floor(page / FILE_RECORDS).cast("long"), -1 - F.pmod(F.xxhash64(record), F.lit(NULL_FILES)))
+
+
 def manifest(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """(id, archive, record_no, offset, length, record_sha256, leaf): the records of the files that hold `pages`.
 
-    File a holds the ids from a · FILE_RECORDS, in the order of ids and then of records. Rows with a null id go to
-    file -1, dealt by hash into runs of FILE_RECORDS at most on average; repeated rows are records of their own.
+    File a holds the ids from a · FILE_RECORDS, in the order of ids and then of records. Rows with a null id go to files
+    below 0, NULL_FILES of them, by a hash of their record; repeated rows are records of their own.
     """
     record = warc_record(F.col(url_col), F.col(body_col), F.col(id_col))
     rows = pages.select(
         F.col(id_col),
-        F.coalesce(F.floor(F.col(id_col) / FILE_RECORDS).cast("long"), F.lit(-1).cast("long")).alias("archive"),
+        _archive(F.col(id_col), record).alias("archive"),
         F.octet_length(record).cast("long").alias("length"),
         F.sha2(record, 256).alias("record_sha256"),
     )
@@ -91,7 +97,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """The pages as uncompressed WARC files, one folder per file number, through Spark's own writer."""
     record = warc_record(F.col(url_col), F.col(body_col), F.col(id_col))
     record = F.substring(record, F.lit(1), F.length(record) - 1).alias("value")  # the writer ends each row with its last line feed
-    archive = F.coalesce(F.floor(F.col(id_col) / FILE_RECORDS).cast("long"), F.lit(-1).cast("long")).alias("archive")
+    archive = _archive(F.col(id_col), warc_record(F.col(url_col), F.col(body_col), F.col(id_col))).alias("archive")
     rows = pages.select(record, archive, F.col(id_col).alias("__id"))
     rows.repartition("archive").sortWithinPartitions("archive", "__id").select("value", "archive").write.partitionBy("archive").option("lineSep", "\n").mode("overwrite").text(path)
 
