@@ -36,6 +36,38 @@ def gap_positions(s: Column | str) -> Column:
     return F.array_compact(F.transform(F.split(col(s), ""), lambda c, i: F.when((c == GAP) | (c == MISSING), i)))
 
 
+def running(lengths: Column) -> Column:
+    """For each entry of array<int> the sum of those before it. Chunk by chunk: a fold that appends copies its array each
+    time, so a single one would take the square of the length."""
+    kind = "array<int>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def inner(chunk: Column) -> Column:
+        return F.aggregate(chunk, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int"))
+        chunks = F.transform(numbers, lambda c: F.slice(v, c * 64 + 1, F.lit(64)))
+        return let(chunks, lambda cs: F.flatten(F.zip_with(F.transform(cs, inner), inner(F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x))), lambda xs, o: F.transform(xs, lambda x: x + o))))
+
+    return let(lengths, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast(kind)))
+
+
+def _runs(s: Column | str) -> Column:
+    """Stretches of gaps and of other characters, in turn."""
+    return F.regexp_extract_all(col(s), F.lit(r"[\-?]+|[^\-?]+"), F.lit(0))
+
+
+def _gap_runs(s: Column | str, ungapped: bool) -> Column:
+    def spans(parts: Column) -> Column:
+        is_gap = lambda p: p.rlike(r"^[\-?]")
+        at = running(F.transform(parts, lambda p: F.when(is_gap(p) & F.lit(ungapped), 0).otherwise(F.length(p))))
+        both = F.zip_with(parts, at, lambda p, n: F.when(is_gap(p), F.struct(n.alias("pos"), F.length(p).alias("length"))))
+        return F.array_compact(both)
+
+    return let(_runs(s), spans)
+
+
 def gap_spans(s: Column | str) -> Column:
     """Runs of gaps as structs (pos, length), pos being the place in the ungapped sequence."""
     return _gap_runs(s, True)
@@ -46,32 +78,15 @@ def gap_align_spans(s: Column | str) -> Column:
     return _gap_runs(s, False)
 
 
-def _gap_runs(s: Column | str, ungapped: bool) -> Column:
-    parts = F.regexp_extract_all(col(s), F.lit(r"[\-?]+|[^\-?]+"), F.lit(0))
-    kind = "array<struct<pos:int,length:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        is_gap = p.rlike(r"^[\-?]")
-        run = F.struct(acc["at"].alias("pos"), F.length(p).alias("length"))
-        moved = acc["at"] + F.when(is_gap & F.lit(ungapped), 0).otherwise(F.length(p))
-        return F.struct(moved.alias("at"), F.when(is_gap, F.array_append(acc["out"], run)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
-
-
 def nongap_spans(s: Column | str) -> Column:
     """Ungapped stretches as structs (start, stop) in the gapped sequence."""
-    parts = F.regexp_extract_all(col(s), F.lit(r"[\-?]+|[^\-?]+"), F.lit(0))
-    kind = "array<struct<start:int,stop:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        stop = acc["at"] + F.length(p)
-        span = F.struct(acc["at"].alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(p.rlike(r"^[\-?]"), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+    def spans(parts: Column) -> Column:
+        at = running(F.transform(parts, F.length))
+        both = F.zip_with(parts, at, lambda p, n: F.when(~p.rlike(r"^[\-?]"), F.struct(n.alias("start"), (n + F.length(p)).alias("stop"))))
+        return F.array_compact(both)
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return let(_runs(s), spans)
 
 
 def align_index(s: Column | str, seq_index: Column) -> Column:
@@ -86,14 +101,14 @@ def seq_index(s: Column | str, align: Column) -> Column:
 
 def compose_gapped(s: Column | str, gaps: Column) -> Column:
     """The ungapped sequence with runs of gaps (pos, length) put back, in the order of pos."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = col(s)
 
-    def step(acc: Column, g: Column) -> Column:
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, g["pos"] - acc["at"]), F.repeat(F.lit(GAP), g["length"]))
-        return F.struct(g["pos"].alias("at"), out.alias("out"))
+    def text(x: Column) -> Column:
+        ends = F.concat(F.transform(x["g"], lambda g: F.struct(g["pos"].alias("pos"), g["length"].alias("length"))), F.array(F.struct(F.length(x["s"]).alias("pos"), F.lit(0).alias("length"))))
+        starts = F.concat(F.array(F.lit(0)), F.transform(x["g"], lambda g: g["pos"]))
+        parts = F.zip_with(starts, ends, lambda a, e: F.concat(F.array_join(F.slice(x["c"], a + 1, e["pos"] - a), ""), F.repeat(F.lit(GAP), e["length"])))
+        return F.array_join(parts, "")
 
-    return F.aggregate(F.array_sort(gaps), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(F.struct(col(s).alias("s"), F.split(col(s), "").alias("c"), F.array_sort(gaps).alias("g")), text)
 
 
 def with_termini_unknown(s: Column | str) -> Column:

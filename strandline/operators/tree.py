@@ -1,4 +1,4 @@
-"""Trees in DataFrames: node tables with path queries by pointer doubling, and rows of Newick text handled in batches."""
+"""Trees in DataFrames: node tables with each node's path to the root, and rows of Newick text handled in batches."""
 
 from __future__ import annotations
 
@@ -11,17 +11,26 @@ from pyspark.sql import functions as F
 from ..functions import tree as T
 from ..session import ship
 
-NODE_SCHEMA = "tree_id string, node int, parent int, name string, length double, support double, is_tip boolean"
+NODE_SCHEMA = "tree_id string, node int, parent int, name string, length double, support double, is_tip boolean, path array<int>, path_dist array<double>"
 
 
 def node_table(trees: DataFrame, id_col: str = "tree_id", newick: str = "newick") -> DataFrame:
-    """Rows of Newick text as nodes, one batch function; nodes are numbered in preorder."""
+    """Rows of Newick text as nodes, one batch function; nodes are numbered in preorder. `path` lists a node and its
+    ancestors up to the root, `path_dist` the distances to them (edges without a length count 1), so that queries over
+    ancestors are explodes and not joins in a loop."""
     ship(trees.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(str(i), *r) for i, t in zip(f[id_col], f[newick]) for r in T.parse_newick(t).table()]
-            out = pd.DataFrame(rows, columns=["tree_id", "node", "parent", "name", "length", "support", "is_tip"])
+            rows = []
+            for i, t in zip(f[id_col], f[newick]):
+                paths: dict[int, tuple[list[int], list[float]]] = {}
+                for node, parent, name, length, support, tip in T.parse_newick(t).table():
+                    up, far = paths[parent] if parent is not None else ([], [])
+                    step = 1.0 if length is None else length
+                    paths[node] = [node, *up], [0.0, *(d + step for d in far)]
+                    rows.append((str(i), node, parent, name, length, support, tip, *paths[node]))
+            out = pd.DataFrame(rows, columns=["tree_id", "node", "parent", "name", "length", "support", "is_tip", "path", "path_dist"])
             yield out.astype({"parent": "Int32"})
 
     return trees.select(id_col, newick).mapInPandas(run, NODE_SCHEMA)
@@ -31,59 +40,43 @@ def make_tree(spark: SparkSession, newick: str, tree_id: str = "t") -> DataFrame
     return node_table(spark.createDataFrame([(tree_id, newick)], "tree_id string, newick string"))
 
 
-def ancestors(nodes: DataFrame, levels: int = 12) -> DataFrame:
-    """(tree_id, node, ancestor, steps, dist), each node its own ancestor too: paths double with each join.
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node, ancestor, steps, dist), each node its own ancestor too."""
+    rows = nodes.select("tree_id", "node", F.posexplode(F.arrays_zip("path", "path_dist")).alias("steps", "p"))
+    return rows.select("tree_id", "node", F.col("p.path").alias("ancestor"), "steps", F.col("p.path_dist").alias("dist"))
 
-    Up to 2^levels steps; the loop stops as soon as no path grows.
-    """
-    up = nodes.select("tree_id", "node", F.coalesce("parent", "node").alias("jump"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("length", F.lit(1.0))).alias("dist"))
-    paths = nodes.select("tree_id", "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"), F.lit(0.0).alias("dist"))
-    for _ in range(levels):
-        hop = up.select("tree_id", F.col("node").alias("ancestor"), "jump", F.col("steps").alias("s"), F.col("dist").alias("d")).filter("s > 0")
-        more = paths.join(hop, ["tree_id", "ancestor"]).select("tree_id", "node", F.col("jump").alias("ancestor"), (F.col("steps") + F.col("s")).alias("steps"), (F.col("dist") + F.col("d")).alias("dist"))
-        paths = paths.unionByName(more).dropDuplicates(["tree_id", "node", "ancestor"])
-        twice = up.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("steps").alias("s2"), F.col("dist").alias("d2"))
-        up = up.join(twice, ["tree_id", "jump"]).select("tree_id", "node", F.col("j2").alias("jump"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("dist") + F.col("d2")).alias("dist"))
-    return paths
 
+def root_distances(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node, name, steps, dist) to the root."""
+    return nodes.select("tree_id", "node", "name", (F.size("path") - 1).alias("steps"), F.element_at("path_dist", -1).alias("dist"))
 
-def root_distances(nodes: DataFrame, levels: int = 6) -> DataFrame:
-    """(tree_id, node, name, steps, dist) to the root, in `levels` joins."""
-    up = nodes.select("tree_id", "node", "name", F.coalesce("parent", "node").alias("jump"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("length", F.lit(1.0))).alias("dist"))
-    for _ in range(levels):
-        twice = up.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("steps").alias("s2"), F.col("dist").alias("d2"))
-        up = up.join(twice, ["tree_id", "jump"]).select("tree_id", "node", "name", F.col("j2").alias("jump"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("dist") + F.col("d2")).alias("dist"))
-    return up.select("tree_id", "node", "name", "steps", "dist")
 
-
-def tip_to_tip(nodes: DataFrame, levels: int = 6) -> DataFrame:
-    """(tree_id, name1, name2, dist): root distances less twice that of the lowest shared ancestor."""
-    paths = ancestors(nodes, levels)
-    roots = root_distances(nodes, levels).select("tree_id", F.col("node").alias("ancestor"), F.col("steps").alias("depth"), F.col("dist").alias("top"))
-    tips = nodes.filter("is_tip").select("tree_id", "node", "name")
-    up = paths.join(tips, ["tree_id", "node"]).select("tree_id", "ancestor", "name", "dist")
-    a, b = up.toDF("tree_id", "ancestor", "name1", "d1"), up.toDF("tree_id", "ancestor", "name2", "d2")
-    pairs = a.join(b, ["tree_id", "ancestor"]).filter("name1 < name2").join(roots, ["tree_id", "ancestor"])
-    return pairs.groupBy("tree_id", "name1", "name2").agg(F.max_by(F.col("d1") + F.col("d2"), "depth").alias("dist"))
+def tip_to_tip(nodes: DataFrame) -> DataFrame:
+    """(tree_id, name1, name2, dist): tips meet by shared ancestor, the lowest one, where the path is shortest, counts."""
+    tips = nodes.filter("is_tip")
+    up = ancestors(tips).join(tips.select("tree_id", "node", "name"), ["tree_id", "node"]).select("tree_id", "ancestor", "name", "steps", "dist")
+    a, b = up.toDF("tree_id", "ancestor", "name1", "s1", "d1"), up.toDF("tree_id", "ancestor", "name2", "s2", "d2")
+    pairs = a.join(b, ["tree_id", "ancestor"]).filter("name1 < name2")
+    return pairs.groupBy("tree_id", "name1", "name2").agg(F.min_by(F.col("d1") + F.col("d2"), F.col("s1") + F.col("s2")).alias("dist"))
 
 
 def total_length(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("tree_id").agg(F.sum(F.when(F.col("parent").isNotNull(), F.col("length"))).alias("total_length"))
 
 
-def clades(nodes: DataFrame, levels: int = 6) -> DataFrame:
+def clades(nodes: DataFrame) -> DataFrame:
     """(tree_id, node, clade): the sorted tips below each inner node."""
     tips = nodes.filter("is_tip").select("tree_id", "node", "name")
-    below = ancestors(nodes, levels).join(tips, ["tree_id", "node"])
+    below = ancestors(nodes).join(tips, ["tree_id", "node"])
     sets = below.groupBy("tree_id", "ancestor").agg(F.array_sort(F.collect_set("name")).alias("clade"))
     inner = nodes.filter("NOT is_tip").select("tree_id", F.col("node").alias("ancestor"))
     return sets.join(inner, ["tree_id", "ancestor"]).withColumnRenamed("ancestor", "node")
 
 
-def clade_support(nodes: DataFrame, levels: int = 6) -> DataFrame:
+def clade_support(nodes: DataFrame) -> DataFrame:
     """(clade, n, freq) over many trees: what a majority consensus counts."""
     n = F.broadcast(nodes.agg(F.count_distinct("tree_id").alias("trees")))
-    c = clades(nodes, levels).select("tree_id", "clade").distinct().groupBy("clade").agg(F.count(F.lit(1)).alias("n"))
+    c = clades(nodes).select("tree_id", "clade").distinct().groupBy("clade").agg(F.count(F.lit(1)).alias("n"))
     return c.crossJoin(n).select("clade", "n", (F.col("n") / F.col("trees")).alias("freq"))
 
 
@@ -140,7 +133,7 @@ def consensus(trees: DataFrame, strict: bool = False) -> DataFrame:
     return trees.sparkSession.createDataFrame([(made.newick(),)], "newick string")
 
 
-def tips_within(nodes: DataFrame, node: Column, distance: float, levels: int = 6) -> DataFrame:
+def tips_within(nodes: DataFrame, node: Column, distance: float) -> DataFrame:
     """Tips whose path up to the given ancestor node is no longer than `distance`."""
-    near = ancestors(nodes, levels).filter((F.col("ancestor") == node) & (F.col("dist") <= distance))
+    near = ancestors(nodes).filter((F.col("ancestor") == node) & (F.col("dist") <= distance))
     return near.join(nodes.filter("is_tip"), ["tree_id", "node"]).select("tree_id", "name", "dist")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.moltype import let
+from ..functions.sequence import running
 from ..session import ship
 
 SEQ = "name string, ord int, seq string"
@@ -396,14 +398,13 @@ def cigar_gaps(cigar: Column) -> Column:
     """array<struct<pos, length>> of D runs, pos in the ungapped sequence; M counts letters. Insertions are refused."""
     ops = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d*[MDI])"), F.lit(1)), lambda o: F.struct(F.coalesce(F.nullif(F.regexp_extract(o, r"^\d*", 0), F.lit("")).cast("int"), F.lit(1)).alias("n"), F.right(o, F.lit(1)).alias("op")))
     kind = "array<struct<pos:int,length:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, o: Column) -> Column:
-        gap = o["op"] == "D"
-        run = F.struct(acc["at"].alias("pos"), o["n"].alias("length"))
-        return F.struct((acc["at"] + F.when(gap, 0).otherwise(o["n"])).alias("at"), F.when(gap, F.array_append(acc["out"], run)).otherwise(acc["out"]).alias("out"))
+    def spans(o: Column) -> Column:
+        at = running(F.transform(o, lambda x: F.when(x["op"] == "D", 0).otherwise(x["n"])))
+        return F.array_compact(F.zip_with(o, at, lambda x, n: F.when(x["op"] == "D", F.struct(n.alias("pos"), x["n"].alias("length")))))
 
-    return F.when(F.contains(cigar, F.lit("I")), F.raise_error(F.lit("insertions aren't supported")).cast(kind)).otherwise(F.aggregate(ops, start, step, lambda acc: acc["out"]))
+    refused = F.raise_error(F.lit("insertions aren't supported")).cast(kind)
+    return F.when(F.contains(cigar, F.lit("I")), refused).otherwise(let(ops, spans))
 
 
 def to_cigar(seq: Column) -> Column:
