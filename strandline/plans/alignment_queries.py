@@ -10,6 +10,7 @@ from ..operators import alignment as A
 from ..operators import distance as D
 from ..operators import profile as P
 from ..operators import stats as T
+from ..operators import vecdist
 from .registry import register
 from .views import ALN_SQL, LONG_SQL, PAIR_SQL, VEC_SQL, alignment, no_nan, vectors
 
@@ -270,8 +271,7 @@ _VEC |= {
 def _vector_query(name: str):
     @register(f"vecdist_{name}", f"WITH {PAIR_SQL} SELECT name1, name2, round({_VEC[name]}, 5) AS dist FROM pairs")
     def query(spark: SparkSession, d: str) -> DataFrame:
-        pairs = D.all_pairs(vectors(spark, d))
-        return pairs.select("name1", "name2", F.round(V.DISTANCES[name]("v1", "v2"), 5).alias("dist"))
+        return vecdist.pairwise(vectors(spark, d), name).withColumn("dist", F.round("dist", 5))
 
     return query
 

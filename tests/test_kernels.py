@@ -212,3 +212,18 @@ def test_optimisers():
     banana = lambda v: (1 - v[0]) ** 2 + 5 * (v[1] - v[0] ** 2) ** 2
     assert O.powell(banana, [-1.0, 0.5]) == pytest.approx([1, 1], abs=1e-2)
     assert O.maximise(lambda v: math.cos(3 * v[0]) - 0.1 * v[0] ** 2, [4.0], -5, 5) == pytest.approx([0], abs=1e-3)
+
+
+def test_block_distances_equal_the_column_expressions(spark):
+    from strandline.operators import vecdist
+    from strandline.operators.distance import all_pairs
+
+    r = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in r.integers(0, 4, 7)]) for i in range(30)] + [(30, [0.0] * 7), (31, [0.0] * 7), (32, [2.0] * 7)]
+    df = spark.createDataFrame(rows, "name long, v array<double>")
+    names = sorted(set(vecdist.METRICS) & set(V.DISTANCES))
+    pairs = all_pairs(df).select("name1", "name2", *[V.DISTANCES[n]("v1", "v2").alias(n) for n in names]).collect()
+    assert len(names) > 18
+    for n in names:
+        got = {(x.name1, x.name2): x.dist for x in vecdist.pairwise(df, n, block=10).collect()}
+        assert got == pytest.approx({(x.name1, x.name2): x[n] for x in pairs}, abs=1e-9), n
