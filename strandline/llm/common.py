@@ -58,4 +58,4 @@ def remainder(key: Column | str, mod: int) -> Column:
 
 def fraction_filter(key: Column, fraction: float) -> Column:
     """Keeps about `fraction` of the rows, chosen by a hash of the key: the same rows in every run."""
-    return F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit("fit")), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))

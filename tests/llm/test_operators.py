@@ -237,6 +237,7 @@ def test_language(spark):
     assert all(out[i].lang_pred == ("en" if i % 2 else "de") and 0.5 < out[i].score <= 1 and not out[i].rejected for i in range(240))
     assert [(out[i].lang_pred, out[i].score, out[i].rejected) for i in (240, 241, 242)] == [("und", 0.0, True)] * 3
     assert langid.keep_known(docs, model).count() == 240 and langid.keep_known(docs, model).columns == docs.columns
+    assert langid.words_of("½ ² 12 _") == [] and langid.words_of("½ a1") == ["½", "a"] and langid.words_of("a1b2") == ["a", "b"] and langid.words_of("Ab, x9 c") == ["ab", "c"]
     assert langid.fit(docs.limit(0), F.lit(True)) is None
     assert langid.score(docs, None).filter("lang_pred <> 'und'").count() == 0
 
