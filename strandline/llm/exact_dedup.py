@@ -75,7 +75,10 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with its columns: of equal texts the row with the smallest id, once."""
+    """The rows of `docs` that stay, with its columns: of equal texts the row with the smallest id, once.
+
+    Of rows that repeat both id and text one stays; their other columns, if they differ, are those of one of them.
+    """
     kept = exact_groups(docs, id_col, text_col).filter("kept")
     names = docs.columns
     # rows that repeat id and text meet by id and digest; others keep to themselves

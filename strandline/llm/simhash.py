@@ -236,7 +236,10 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group of near-duplicates; a row without id stays if its whole group has none."""
+    """The rows of `docs` whose id is the smallest of its group of near-duplicates; a row without id stays if its whole group has none.
+
+    Ids are taken to name documents: rows that repeat the id of one that stays, stay with it.
+    """
     groups = near_groups(docs.select(id_col, text_col), id_col, text_col)
     stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
     return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
