@@ -2,7 +2,7 @@
 
 A hypothesis is a set of site classes, each with a weight and with the ratio of amino-acid to silent changes on
 foreground and on background edges. Edge lengths keep the proportions that a nucleotide fit gives them, so a codon fit
-has a scale, kappa and the ratios and weights that the hypothesis leaves free. A family is one task.
+has a scale, the parameters of the model and the ratios and weights that the hypothesis leaves free. A family is one task.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from ..session import ship
 Classes = list[tuple[float, float, float]]
 
 
-def class_lnl(lf: LikelihoodFunction, scale: float, kappa: float, classes: Classes, foreground: set[str]) -> float:
-    """The log-likelihood of a mixture of site classes."""
+def class_lnl(lf: LikelihoodFunction, scale: float, params: dict[str, float], classes: Classes, foreground: set[str]) -> float:
+    """The log-likelihood of a mixture of site classes; `params`: the model's besides omega."""
     each = []
-    kept, tree = dict(lf.params), lf.tree
+    tree = lf.tree
     for weight, fg, bg in classes:
-        qs = {w: lf.model.q(lf.pi, kept | {"kappa": kappa, "omega": w}) for w in {fg, bg}}
+        qs = {w: lf.model.q(lf.pi, params | {"omega": w}) for w in {fg, bg}}
         held: dict[int, np.ndarray] = {}
         logs = np.zeros(len(lf.columns))
         for n in tree.postorder():
@@ -72,12 +72,14 @@ def _branch_site(a: float, b: float, c: float, fg: float) -> Classes:
 def fit_classes(lf: LikelihoodFunction, free: int, classes: Callable[[Sequence[float]], Classes], foreground: set[str], steps: int) -> tuple[float, int, Classes]:
     """(log-likelihood, free values, classes) of the best fit."""
     clip = lambda x: float(np.clip(x, -6, 6))
+    names = [p for p in lf.model.parameters if p != "omega"]
+    k = 1 + len(names)
 
     def cost(x: np.ndarray) -> float:
-        return -class_lnl(lf, math.exp(clip(x[0])), math.exp(clip(x[1])), classes([clip(v) for v in x[2:]]), foreground)
+        return -class_lnl(lf, math.exp(clip(x[0])), {p: math.exp(clip(v)) for p, v in zip(names, x[1:k])}, classes([clip(v) for v in x[k:]]), foreground)
 
-    best = nelder_mead(cost, np.zeros(2 + free), steps)
-    return -cost(best), 2 + free, classes([clip(v) for v in best[2:]])
+    best = nelder_mead(cost, np.zeros(k + free), steps)
+    return -cost(best), k + free, classes([clip(v) for v in best[k:]])
 
 
 def natsel(seqs: DataFrame, test: str = "neutral", trees: DataFrame | None = None, foreground: Sequence[str] = (), model: str = "MG94HKY", steps: int = 15) -> DataFrame:

@@ -197,6 +197,50 @@ def test_selection_tests(spark):
     assert natsel(df.filter("family = 'f'"), "zhang", foreground=["a"], steps=2).first().df == 1
 
 
+def test_codon_models_differ_as_named():
+    aln = {"a": "ATGGCTAAACGCGGGTTTACG", "b": "ATGGCAAAGCGTGGATTTATG", "c": "ATGGCTAAACGAGGGTTCACA"}
+    names = [n for n, _, _ in L.available_models(["codon"]) if n != "Y98"]  # GY94 is Y98 by definition
+    lnls = {}
+    for n in names:
+        m = L.get_model(n)
+        lf = L.LikelihoodFunction(m, T.parse_newick("(a:0.1,b:0.2,c:0.3);"), aln, {p: 2.0 for p in m.parameters})
+        lnls[n] = round(lf.lnl(), 6)
+        if m.reversible:
+            flow = lf.pi[:, None] * lf.q()
+            assert flow == pytest.approx(flow.T)
+    assert len(set(lnls.values())) == len(names), lnls
+
+
+def test_codon_frequencies():
+    aln = {"a": "ATGGCTAAACGCGGGTTTACG", "b": "ATGGCAAAGCGTGGATTTATG"}
+    letters = {x: sum(s.count(x) for s in aln.values()) + 0.5 for x in "TCAG"}
+    m, c = L.get_model("MG94HKY"), L.get_model("CNFHKY")
+    at = {s: i for i, s in enumerate(m.states)}
+    pi = L.motif_probs(aln, m)
+    assert pi[at["GCT"]] / pi[at["AAA"]] == pytest.approx(math.prod(letters[x] for x in "GCT") / letters["A"] ** 3)
+    w = m.weights(pi)
+    for a, b, x in (("AAA", "AAG", "G"), ("TAT", "TAC", "C"), ("TGG", "CGG", "C")):
+        assert w[at[a], at[b]] == pytest.approx(letters[x] / sum(letters.values()))
+    pi = L.motif_probs(aln, c)
+    assert c.weights(pi)[at["TAT"], at["TAC"]] == pytest.approx(pi[at["TAC"]] / (pi[at["TAC"]] + pi[at["TAT"]]))
+
+
+def test_cpg_parameters():
+    rate = lambda n, a, b: L.get_model(n).rate(a, b, {"G": 3.0, "G.K": 5.0, "kappa": 2.0})
+    assert [rate(n, "ACG", "ATG") for n in ("GY94", "H04G", "H04GK", "H04GGK")] == [2, 6, 10, 30]
+    assert [rate(n, "ACG", "AGG") for n in ("GY94", "H04G", "H04GK", "H04GGK")] == [1, 3, 1, 3]
+    assert rate("H04GGK", "CCG", "CGG") == 1  # a CG gone and another made
+
+
+def test_selection_tests_fit_the_named_model(spark):
+    from strandline.operators.natsel import natsel
+
+    rows = [("f", n, s) for n, s in {"a": "ATGGCTAAACGCGGGTTTACG", "b": "ATGGCAAAGCGTGGATTTATG", "c": "ATGGCTAAACGAGGGTTCACA"}.items()]
+    df = spark.createDataFrame(rows, "family string, name string, seq string")
+    lnls = {m: round(natsel(df, steps=6, model=m).first().lnl_alt, 4) for m in ("MG94HKY", "GY94", "CNFHKY", "H04G", "H04GK")}
+    assert len(set(lnls.values())) == len(lnls), lnls
+
+
 def test_empirical_protein_model():
     text = " ".join(["1"] * 190 + ["0.05"] * 20)
     model, freqs = L.empirical_protein("flat", text)
