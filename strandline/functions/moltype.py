@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
@@ -122,13 +123,20 @@ class MolType:
     def count_ambiguous(self, s: Column | str) -> Column:
         return chars_in(col(s), "".join(self.codes) + MISSING)
 
-    def count_variants(self, s: Column | str) -> Column:
-        """How many plain sequences the codes stand for, as a double."""
+    def _codes_by_size(self) -> list[tuple[int, str]]:
         by_size: dict[int, str] = {}
         for code, letters in self.codes.items():
             by_size[len(letters)] = by_size.get(len(letters), "") + code
         by_size[len(self.letters) + 1] = by_size.get(len(self.letters) + 1, "") + MISSING
-        return reduce(lambda a, b: a * b, (F.pow(F.lit(float(n)), chars_in(col(s), codes)) for n, codes in sorted(by_size.items())))
+        return sorted(by_size.items())
+
+    def count_variants(self, s: Column | str) -> Column:
+        """How many plain sequences the codes stand for, as a double; infinite beyond one, see log_variants."""
+        return reduce(lambda a, b: a * b, (F.pow(F.lit(float(n)), chars_in(col(s), codes)) for n, codes in self._codes_by_size()))
+
+    def log_variants(self, s: Column | str) -> Column:
+        """The natural logarithm of count_variants, for texts of any length."""
+        return reduce(lambda a, b: a + b, (chars_in(col(s), codes) * F.lit(math.log(n)) for n, codes in self._codes_by_size()))
 
     def degenerate_positions(self, s: Column | str, include_gap: bool = True) -> Column:
         """Places, from 0, of degenerate characters."""

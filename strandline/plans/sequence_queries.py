@@ -59,6 +59,12 @@ def seq_variants_log(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("name", F.round(F.ln(M.DNA.count_variants("seq")), 4).alias("v"))
 
 
+@register("seq_variants_log_all", f"""WITH {CODES_SQL} SELECT name, round(length(regexp_replace(seq, '[^RYKMSW]', '', 'g')) * ln(2) + length(regexp_replace(seq, '[^BDHV]', '', 'g')) * ln(3) + length(regexp_replace(seq, '[^N]', '', 'g')) * ln(4), 4) AS v FROM seqs""")
+def seq_variants_log_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every sequence, however many variants it has."""
+    return codes(spark, d).select("name", F.round(M.DNA.log_variants("seq"), 4).alias("v"))
+
+
 @register("seq_strip", f"WITH {CODES_SQL} SELECT name, md5(regexp_replace(seq, '[RYKMSWBDHVN]', '', 'g')) AS stripped, md5(replace(seq, '-', '')) AS degapped FROM seqs")
 def seq_strip(spark: SparkSession, d: str) -> DataFrame:
     return codes(spark, d).select("name", F.md5(M.DNA.strip_degenerate("seq")).alias("stripped"), F.md5(M.DNA.degap("seq")).alias("degapped"))

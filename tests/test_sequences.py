@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from strandline.functions import sequence as S
 from strandline.functions.genetic_code import get_code
 from strandline.operators import alignment as A
 from strandline.operators import distance as D
+from strandline.plans import registry
 
 
 def one(spark, expression, **values):
@@ -26,6 +29,18 @@ def test_complements_and_codes(spark):
     assert set(one(spark, M.DNA.random_disambiguate("s"), s="NNRY")) <= set("ACGT")
 
 
+def test_log_of_many_variants(spark):
+    n, v = one(spark, F.array(M.DNA.log_variants("s"), F.ln(M.DNA.count_variants("s"))), s="ARNB-?")
+    assert n == pytest.approx(v)
+    assert one(spark, M.DNA.log_variants("s"), s="RNB" * 2000) == pytest.approx(2000 * math.log(2 * 4 * 3))
+
+
+def test_every_text_has_a_log_of_variants(spark, tmp_path):
+    spark.createDataFrame([(1, "n" * 2000), (2, "Run, by a bank"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.name: r.v for r in registry.QUERIES["seq_variants_log_all"](spark, str(tmp_path)).collect()}
+    assert got[1] == pytest.approx(2000 * math.log(4), abs=1e-4) and got[2] > 0 and got[3] == 0
+
+
 def test_kmers_and_motifs(spark):
     assert one(spark, S.kmers("s", 3), s="ACGTN") == ["ACG", "CGT", "GTN"]
     assert one(spark, S.kmers("s", 3, M.DNA), s="ACGTNAC") == ["ACG", "CGT"]
