@@ -356,6 +356,28 @@ def concat(alns: Sequence[DataFrame], intersect: bool = True, fill: str = MISSIN
     return out.select("name", "ord", F.concat(*parts).alias("seq"))
 
 
+def with_following(seqs: DataFrame, per_part: int = 4096) -> DataFrame:
+    """`other`: the seq of the next row in the order of names, which are numbers, null on the last. Rows are dealt to ranges
+    between quantiles of the names, so that no task has them all; the first row of a range follows the last of the one before."""
+    n = seqs.count()
+    parts = min(max(n // per_part, 1), 2000)
+    found = seqs.agg(F.percentile_approx("name", [i / parts for i in range(1, parts)], 10000)).first()[0] if parts > 1 else []
+    # every bound is a name of the table, so no range but the first is empty
+    bounds = sorted(set(found))
+
+    def range_of(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(F.col("name") >= F.lit(bounds[middle - 1]), range_of(middle, high)).otherwise(range_of(low, middle - 1))
+
+    rows = seqs.withColumn("__range", range_of(0, len(bounds)))
+    firsts = rows.groupBy("__range").agg(F.min(F.struct("name", "seq")).alias("f")).select((F.col("__range") - 1).alias("__range"), F.col("f.seq").alias("__after"))
+    w = W.partitionBy("__range").orderBy("name", "seq")
+    rows = rows.withColumn("__next", F.lead(F.struct("seq")).over(w)).join(firsts, "__range", "left")
+    return rows.withColumn("other", F.when(F.col("__next").isNull(), F.col("__after")).otherwise(F.col("__next.seq"))).drop("__range", "__next", "__after")
+
+
 def take_codon_positions(aln: DataFrame, positions: Sequence[int] = (3,), gc: GeneticCode | None = None, fourfold: bool = False) -> DataFrame:
     """Columns at the given places of codons (1 to 3), or third places of columns within one four-fold degenerate set."""
     if not fourfold:

@@ -194,10 +194,7 @@ def seq_lengths(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT name, n, unnest(range(1, n + 1)) AS i, seq, other FROM n WHERE n > 0)
 SELECT name, round(avg((seq[i] = other[i])::INTEGER), 8) AS same, sum((seq[i] <> other[i])::INTEGER)::INTEGER AS diff, round(avg(((seq[i] = '-') = (other[i] = '-'))::INTEGER), 8) AS same_gaps FROM p GROUP BY name""")
 def seq_neighbour_fractions(spark: SparkSession, d: str) -> DataFrame:
-    a = codes(spark, d)
-    order = a.select("name").distinct()
-    after = order.join(order.withColumnRenamed("name", "next"), F.col("next") == F.col("name") + 1)
-    rows = a.join(after, "name").join(a.select(F.col("name").alias("next"), F.col("seq").alias("other")), "next").filter("length(seq) > 0 AND length(other) > 0")
+    rows = A.with_following(codes(spark, d)).filter("length(seq) > 0 AND length(other) > 0")
     return rows.select("name", F.round(S.frac_same("seq", "other"), 8).alias("same"), S.diff("seq", "other").alias("diff"), F.round(S.frac_same_gaps("seq", "other"), 8).alias("same_gaps"))
 
 

@@ -110,6 +110,20 @@ def test_rows(spark, aln):
         A.checked_alignment(A.make_seqs(spark, {"x": "A", "y": "AC"}))
 
 
+def test_the_following_row_over_gaps_of_names(spark):
+    names = [i * i + 7 for i in range(50)]
+    df = spark.createDataFrame([(n, i, f"s{n}") for i, n in enumerate(names)], "name long, ord int, seq string").repartition(5)
+    want = {n: f"s{m}" for n, m in zip(names, names[1:])} | {names[-1]: None}
+    for per_part in (1, 7, 4096):
+        assert {r.name: r.other for r in A.with_following(df, per_part).collect()} == want
+
+
+def test_neighbours_of_sparse_ids(spark, tmp_path):
+    spark.createDataFrame([(3, "acgt"), (10, "acga"), (25, "ttga")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.name: (r.same, r.diff) for r in registry.QUERIES["seq_neighbour_fractions"](spark, str(tmp_path)).collect()}
+    assert got == {3: (0.75, 1), 10: (0.5, 2)}
+
+
 def test_distances(spark):
     k = D.jaccard_dist(A.make_seqs(spark, {"s1": "ACGTA", "s2": "ACGTC"}), 2)
     assert k.first().dist == pytest.approx(0.4)
