@@ -184,23 +184,19 @@ _M = f"""{ALN_SQL}, u AS (SELECT min(name) AS name, seq FROM aln GROUP BY seq),
 m AS (SELECT name1, name2, len(list_filter(z, lambda x: x NOT LIKE '%-%')) AS valid, len(list_filter(z, lambda x: x NOT LIKE '%-%' AND x[1] <> x[2])) AS diffs, z FROM q)"""
 
 
-def unique(spark: SparkSession, d: str) -> DataFrame:
-    return D.deduplicated(alignment(spark, d))[0]
-
-
 @register("dist_hamming", f"WITH {_M} SELECT name1, name2, diffs::DOUBLE AS dist FROM m")
 def dist_hamming(spark: SparkSession, d: str) -> DataFrame:
-    return D.hamming(unique(spark, d))
+    return D.hamming(alignment(spark, d))
 
 
 @register("dist_pdist", f"WITH {_M} SELECT name1, name2, round(diffs / nullif(valid, 0), 8) AS dist FROM m")
 def dist_pdist(spark: SparkSession, d: str) -> DataFrame:
-    return D.pdist(unique(spark, d)).withColumn("dist", F.round("dist", 8))
+    return D.pdist(alignment(spark, d)).withColumn("dist", F.round("dist", 8))
 
 
 @register("dist_jc69", f"WITH {_M}, p AS (SELECT name1, name2, diffs / nullif(valid, 0) AS p FROM m) SELECT name1, name2, CASE WHEN p = 0 THEN 0 WHEN p < 0.75 THEN round(-0.75 * ln(1 - p / 0.75), 6) END AS dist FROM p")
 def dist_jc69(spark: SparkSession, d: str) -> DataFrame:
-    return D.jc69(unique(spark, d)).select("name1", "name2", no_nan("dist"))
+    return D.jc69(alignment(spark, d)).select("name1", "name2", no_nan("dist"))
 
 
 _TN = f"""{_M}, f AS (SELECT sum(length(seq) - length(replace(seq, 'A', ''))) AS a, sum(length(seq) - length(replace(seq, 'C', ''))) AS c, sum(length(seq) - length(replace(seq, 'G', ''))) AS g, sum(length(seq) - length(replace(seq, 'T', ''))) AS t FROM u),
@@ -213,12 +209,12 @@ e AS (SELECT name1, name2, valid, diffs, c1, c2, 2 * (r * y - rr * y / r - yy *
 
 @register("dist_tn93", f"WITH {_TN} SELECT name1, name2, CASE WHEN valid = 0 THEN NULL WHEN diffs = 0 THEN 0 WHEN t1 > 0 AND t2 > 0 AND t3 > 0 THEN round(-c1 * ln(t1) - c2 * ln(t2) - c3 * ln(t3), 6) END AS dist FROM e")
 def dist_tn93(spark: SparkSession, d: str) -> DataFrame:
-    return D.tn93(unique(spark, d)).select("name1", "name2", no_nan("dist"))
+    return D.tn93(alignment(spark, d)).select("name1", "name2", no_nan("dist"))
 
 
 @register("dist_paralinear")
 def dist_paralinear(spark: SparkSession, d: str) -> DataFrame:
-    return D.paralinear(unique(spark, d))
+    return D.paralinear(alignment(spark, d))
 
 
 @register("dist_gap", f"""WITH {ALN_SQL}, g AS (SELECT name, list_distinct(list_filter(list_transform(range(1, 65), lambda i: CASE WHEN seq[i] = '-' AND (i = 1 OR seq[i - 1] <> '-') THEN i::VARCHAR || ':' || (length(substr(seq, i)) - length(ltrim(substr(seq, i), '-')))::VARCHAR END), lambda x: x IS NOT NULL)) AS s FROM aln),
@@ -230,7 +226,7 @@ def dist_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @register("dist_max_pair", f"WITH {_M} SELECT max(diffs)::DOUBLE AS dist FROM m")
 def dist_max_pair(spark: SparkSession, d: str) -> DataFrame:
-    return D.max_pair(D.hamming(unique(spark, d))).select("dist")
+    return D.max_pair(D.hamming(alignment(spark, d))).select("dist")
 
 
 @register("aln_coevolution", f"""WITH {LONG_SQL}, c AS (SELECT a.pos::INTEGER AS pos1, b.pos::INTEGER AS pos2, a.ch AS c1, b.ch AS c2, count(*) AS n FROM long a JOIN long b ON a.name = b.name AND a.pos < b.pos WHERE a.ch <> '-' AND b.ch <> '-' GROUP BY ALL),

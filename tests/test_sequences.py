@@ -124,6 +124,20 @@ def test_neighbours_of_sparse_ids(spark, tmp_path):
     assert got == {3: (0.75, 1), 10: (0.5, 2)}
 
 
+def test_distances_of_copies_keep_every_name(spark, tmp_path):
+    one_, two, three = [-0.5, -0.05, 0.05, 0.2] * 16, [-0.5, -0.05, 0.05, 0.05] * 16, [-0.05, -0.05, 0.05, 0.2] * 16
+    rows = [(i, v) for i, v in enumerate([one_, two, one_, three, one_, two])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = {(i, j) for i in range(6) for j in range(i + 1, 6)}
+    copies = {(i, j) for i, j in pairs if rows[i][1] == rows[j][1]}
+    for q, same in (("hamming", 0), ("pdist", 0), ("jc69", 0), ("tn93", 0), ("paralinear", 0), ("percent_identity", 1)):
+        got = {(r.name1, r.name2): r[2] for r in registry.QUERIES[f"dist_{q}"](spark, str(tmp_path)).collect()}
+        assert set(got) == pairs, q
+        assert all(got[p] == pytest.approx(same, abs=1e-9) for p in copies), q
+    spark.createDataFrame([(1, one_), (2, one_)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "copies" / "embeddings.parquet"))
+    assert registry.QUERIES["dist_max_pair"](spark, str(tmp_path / "copies")).first().dist == 0
+
+
 def test_distances(spark):
     k = D.jaccard_dist(A.make_seqs(spark, {"s1": "ACGTA", "s2": "ACGTC"}), 2)
     assert k.first().dist == pytest.approx(0.4)
