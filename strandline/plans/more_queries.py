@@ -44,6 +44,12 @@ def aln_concat(spark: SparkSession, d: str) -> DataFrame:
     return A.concat([aln, A.fixed_length(aln.filter("name % 2 = 0"), 10, "last")]).select("name", "seq")
 
 
+@register("aln_concat_all", f"WITH {ALN_SQL} SELECT name, seq || right(seq, 10) AS seq FROM aln")
+def aln_concat_all(spark: SparkSession, d: str) -> DataFrame:
+    aln = alignment(spark, d)
+    return A.concat([aln, A.fixed_length(aln, 10, "last")]).select("name", "seq")
+
+
 @register("aln_to_pretty", f"WITH {ALN_SQL} SELECT a.name, CASE WHEN a.name = 5 THEN a.seq ELSE array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN a.seq[i] = r.seq[i] THEN '.' ELSE a.seq[i] END), '') END AS seq FROM aln a, (SELECT seq FROM aln WHERE name = 5) r")
 def aln_to_pretty(spark: SparkSession, d: str) -> DataFrame:
     return A.to_pretty(alignment(spark, d), 5).select("name", "seq")

@@ -110,6 +110,17 @@ def test_rows(spark, aln):
         A.checked_alignment(A.make_seqs(spark, {"x": "A", "y": "AC"}))
 
 
+def test_concat_of_unequal_names(spark, aln):
+    other = A.make_seqs(spark, {"a": "GG", "z": "TT"})
+    assert seqs(A.concat([aln, other])) == {"a": "ACGT-AGG"}
+    assert set(seqs(A.concat([aln, other], intersect=False))) == set("abcdz")
+
+
+def test_concat_of_a_whole_alignment(spark, tmp_path):
+    spark.createDataFrame([(i, [-0.5] * 12) for i in range(5)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert seqs(registry.QUERIES["aln_concat_all"](spark, str(tmp_path))) == {i: "A" * 22 for i in range(5)}
+
+
 def test_the_following_row_over_gaps_of_names(spark):
     names = [i * i + 7 for i in range(50)]
     df = spark.createDataFrame([(n, i, f"s{n}") for i, n in enumerate(names)], "name long, ord int, seq string").repartition(5)
