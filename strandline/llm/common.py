@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -10,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows an Arrow batch holds at most: long texts come in small batches, so a worker's memory stays bounded.
-BATCH_ROWS = 1000
+#: Rows and bytes that an Arrow batch holds at most: long texts come in small batches, so a worker's memory stays bounded.
+#: (A batch holds one row at least, so a single text beyond BATCH_BYTES comes alone.)
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,35 +24,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of this machine only where none is set, as in tests."""
+    """The folder that all executors share. Where none is set, one of this machine if there are no other machines (as in
+    tests); else an error, as executors would write where nobody else reads."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder as Parquet and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, remembered for release()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = []
+        atexit.register(_at_end, spark)
+    _WRITTEN[app].append(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` to the shared folder as Parquet and reads it back: cuts lineage, survives lost executors.
+
+    The files go with drop_materialised(), with release() or at the driver's end.
+    """
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def drop_materialised(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing lazy refers to it any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+    names = {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}
+    delete(spark, sorted(names))
+    app = spark.sparkContext.applicationId
+    gone = {n.rsplit("/", 1)[1] for n in names}
+    _WRITTEN[app] = [p for p in _WRITTEN.get(app, []) if p.rsplit("/", 1)[1] not in gone]
+
+
+def written(spark: SparkSession) -> int:
+    """How many paths release() would delete; what is written later has a higher place."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables written since then; call it when the results made from them are written."""
+    if spark.sparkContext._jsc is None:  # a stopped session
+        return
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    delete(spark, paths[since:])
+    del paths[since:]
+
+
+def _at_end(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        release(spark)
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Before Python runs on the executors: the package goes there, and Arrow batches are bounded in rows and bytes.
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before Python runs on the executors: the package goes there, and Arrow batches stay small."""
+    The two settings are the session's, the same for all operators here, so it doesn't matter which plan runs when.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def remainder(key: Column | str, mod: int) -> Column:
@@ -56,6 +108,7 @@ def remainder(key: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
-def fraction_filter(key: Column, fraction: float) -> Column:
-    """Keeps about `fraction` of the rows, chosen by a hash of the key: the same rows in every run."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit("fit")), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))
+def fraction_filter(key: Column, fraction: float, seed: str = "fit") -> Column:
+    """Keeps about `fraction` of the rows, chosen by a hash of the key: the same rows in every run. A null key counts as empty text."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))
