@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import drop_materialised, materialise, small_batches
 
 #: The pattern of the byte-level vocabularies, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -277,47 +277,50 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON) -> list[str]:
-    """Up to `most` of the most frequent words of all texts, in the order of counts and then of words: all words of the
-    size classes of counts that fit, so no more than `most` rows reach the driver, whatever the number of tasks.
+    """The `most` most frequent words of all texts, about, in the order of counts and then of words; the same however
+    the table is dealt to tasks.
 
-    A task counts pieces between spaces and splits those it saw twice or more: what is seen once in each share isn't
-    among the frequent ones.
+    Tasks count pieces between spaces, each distinct piece of the corpus is split into words once, and words are summed.
+    Counts fall into size classes, of which the largest that fit are taken whole and the next one by a hash of its words,
+    so that no more than `most` rows reach the driver, whatever the number of tasks, and all that do are wanted.
     """
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: Counter = Counter()
 
-        def words() -> pa.RecordBatch:
-            out: Counter = Counter()
-            for p, n in pieces.items():
-                if n > 1:
-                    for w in [" " + p] if p.isalpha() else _SPLIT.findall(" " + p):
-                        out[w] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], ["piece", "n"])
 
         for b in batches:
             for t in b.column(0):
                 pieces.update((t.as_py() or "").split(" "))
             if len(pieces) > COUNTED:
-                yield words()
+                yield out()
                 pieces.clear()
-        yield words()
+        yield out()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: Counter = Counter()
+            for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for w in [" " + p] if p.isalpha() else _SPLIT.findall(" " + p):
+                    out[w] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long")
-    words_n = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    pieces = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    words = materialise(pieces.mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     step = F.floor(F.log2("n") * 32).cast("int")  # counts by size, some 2,000 sizes at most, tell where to cut
-    sizes = sorted(((r[0], r[1]) for r in words_n.groupBy(step.alias("size")).count().collect()), reverse=True)
-    held, cut = 0, None
-    for size, n in sizes:
-        held += n
-        if held > most:
+    held, low, some = 0, None, F.lit(False)
+    for size, n in sorted(((r[0], r[1]) for r in words.groupBy(step.alias("size")).count().collect()), reverse=True):
+        if held + n > most:
+            share = (most - held) / n
+            some = (step == size) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(share * 1_000_000))
             break
-        cut = size
-    if cut is None:
-        return []
-    found = words_n.filter(step >= cut).collect()
-    return [r[0] for r in sorted(found, key=lambda r: (-r[1], r[0]))]
+        held, low = held + n, size
+    found = words.filter(some if low is None else some | (step >= low)).collect()
+    drop_materialised(docs.sparkSession, words)
+    return [r[0] for r in sorted(found, key=lambda r: (-r[1], r[0]))][:most]
 
 
 def lexicon(words: list[str], path: str) -> bytes:
@@ -334,7 +337,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, ids): for each row of `docs` its ids as array<int>; null and empty texts have none.
 
     `blob`: a compiled lexicon; by default one is made of the words of these texts. Its size is bounded by LEXICON.
-    Special tokens of the vocabulary that stand in a text become their ids, as in the public library.
+    Special tokens of the vocabulary that stand in a text become their ids, as in the public library. Repeated rows are
+    encoded each, texts of any length as a whole; columns other than these two don't matter. An empty table gives an
+    empty result.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(blob if blob is not None else lexicon(frequent_words(docs, text_col), path))
