@@ -1,15 +1,17 @@
 """Exact top-k by inner product through a dual-tree search over cover trees.
 
-Vectors are dealt to cells around pivots (the topmost level of the tree, at most `PIVOTS`), small cells join to groups
-and large ones are cut, into blocks of about `BLOCK` rows. A task holds a block of queries and one of candidates, builds
-a cover tree over either and visits pairs of nodes: the inner product of any two members is at most
+Vectors are dealt to cells around pivots, whose number grows with the rows; small cells join to groups and large ones are
+cut, into blocks of about `BLOCK` rows. Each block's cover tree is built once and written. A task takes pairs of a query
+block and a candidate block and visits pairs of nodes: the inner product of any two members is at most
 c·d + r|d| + s|c| + rs for centres c, d and radii r, s, and a pair of nodes goes once that is below the worst kth score
-of the query node. The first round searches the blocks of each query's own cell; a cell's worst kth score then rules
-out blocks as a whole, and the second round visits the rest.
+of the query node. Rounds go from near to far: first the blocks of each query's own cell, then those of the highest
+bounds, then the rest; after each round the kth scores so far rule out pairs of groups as a whole and are the floors of
+the next round's searches.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +23,23 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-PIVOTS, SAMPLE = 32, 2048
+#: Pivots: one for PIVOT_ROWS rows, within these bounds; they are chosen from SAMPLE rows each.
+PIVOTS, PIVOT_ROWS, SAMPLE = (32, 1024), 4096, 64
 #: Rows of a block of candidates; of queries, a quarter.
 BLOCK = 8192
+#: Candidate groups that a query group visits in the second round.
+NEAR = 3
 LEAF, SHRINK = 128, 1.4
 SLACK = 1e-9
 
 
 class CoverTree:
-    """Nodes as arrays: centre, radius (covering), children or a leaf's rows. A level's centres lie further apart than the level's radius, which shrinks by SHRINK."""
+    """Nodes as arrays: centre, radius, children or a leaf's rows.
+
+    A node's radius is measured, so it covers all its rows. Children's centres are chosen farthest first and lie further
+    apart than the node's reach, which is its radius by SHRINK; there are at most as many as fill leaves, so where a node
+    spreads in too many directions some of its rows lie beyond the reach of all of them. Nodes of LEAF rows aren't split.
+    """
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points
@@ -80,12 +90,12 @@ class CoverTree:
         return not self.children[node]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, places in `rows`), each queries × k, best first, -inf where there are fewer; candidates with the query's id don't count.
+def search(qt: CoverTree, query_ids: np.ndarray, ct: CoverTree, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, places in the candidates' rows), each queries × k, best first, -inf where there are fewer; candidates with the query's id don't count.
 
     `floor`: for each query a score that k others are known to reach; what lies below needn't be returned.
     """
-    qt, ct = CoverTree(queries), CoverTree(rows)
+    queries, rows = qt.points, ct.points
     top = np.full((len(queries), k), -np.inf)
     place = np.zeros((len(queries), k), dtype=np.int64)
     if not len(rows) or not len(queries):
@@ -139,26 +149,28 @@ def _leaf(queries, query_ids, rows, ids, top, place, q, c, k) -> None:
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<long>, dim): rows whose vector, floor(scale · x) by component, takes part.
+    """(key, id, v array<long>, dim): rows whose vector, floor(scale · x) by component, takes part; key tells rows apart.
 
-    Null ids and null vectors, vectors with a null or non-finite component and empty vectors don't. Of rows that
-    repeat an id the smallest vector counts.
+    Null ids and null vectors, vectors with a null or non-finite component and empty vectors don't. Rows that repeat an
+    id are rows of their own.
     """
-    fine = F.forall(vector_col, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")), F.lit(False)))
-    v = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    rows = table.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine & (F.size(vector_col) > 0))
-    return rows.groupBy(F.col(id_col).alias("id")).agg(F.min(v).alias("v")).withColumn("dim", F.size("v"))
+    fine = F.forall("__v", lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")), F.lit(False)))
+    v = F.transform("__v", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v")).filter(F.col("id").isNotNull() & F.col("__v").isNotNull() & fine & (F.size("__v") > 0))
+    return rows.select(F.monotonically_increasing_id().alias("key"), "id", v.alias("v")).withColumn("dim", F.size("v"))
 
 
-def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension up to PIVOTS vectors far from each other, of a bounded sample."""
+def _pivots(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """For each dimension up to `count` vectors far from each other, of a bounded sample."""
     out: dict[int, np.ndarray] = {}
-    sample = rows.select("dim", "v").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
-    for dim, g in sample.groupby("dim"):
-        points = np.array(g["v"].tolist(), dtype=float)
+    sample = rows.select("dim", "v").orderBy(F.xxhash64("id"), "key").limit(count * SAMPLE).toArrow()
+    dims = sample["dim"].to_numpy()
+    for dim in np.unique(dims):
+        part = sample["v"].filter(pa.array(dims == dim)).combine_chunks()
+        points = part.values.to_numpy()[part.offsets.to_numpy()[0] : part.offsets.to_numpy()[-1]].reshape(-1, int(dim)).astype(float)
         chosen = [0]
         far = np.linalg.norm(points - points[0], axis=1)
-        while len(chosen) < min(PIVOTS, len(points)) and far.max() > 0:
+        while len(chosen) < min(count, len(points)) and far.max() > 0:
             chosen.append(int(far.argmax()))
             far = np.minimum(far, np.linalg.norm(points - points[chosen[-1]], axis=1))
         out[int(dim)] = points[chosen]
@@ -177,93 +189,169 @@ def _groups(rows: dict[tuple[int, int], int], block: int) -> dict[tuple[int, int
     return out
 
 
+def _packed(f: pa.Table) -> bytes:
+    """A block's rows and their cover tree."""
+    v = f["v"].combine_chunks()
+    points = v.flatten().to_numpy().reshape(f.num_rows, -1)
+    small = next((t for t in (np.int16, np.int32) if np.abs(points).max(initial=0) <= np.iinfo(t).max), np.int64)
+    tree = CoverTree(points.astype(float))
+    parts = (tree.centre, tree.radius, tree.children, tree.rows)
+    return pickle.dumps((points.astype(small), np.array(f["id"].to_pylist()), f["key"].to_numpy(), parts), protocol=5)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, CoverTree]:
+    points, ids, keys, parts = pickle.loads(blob)
+    tree = CoverTree(np.zeros((0, points.shape[1])))
+    tree.points = points.astype(float)
+    tree.norm2 = np.einsum("ij,ij->i", tree.points, tree.points)
+    tree.centre, tree.radius, tree.children, tree.rows = parts
+    return points, ids, keys, tree
+
+
+def _blocks(rows: DataFrame, of: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
+    """(grp, part, n, blob): the blocks of `rows`, which have dim and cell. A block's rows are bounded, so one task may hold them."""
+    spark = rows.sparkSession
+    places = F.broadcast(spark.createDataFrame([(d, c, g, n) for (d, c), (g, n) in of.items()], "dim int, cell long, grp int, parts int"))  # a row per cell
+    dealt = rows.join(places, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+    def build(key: tuple, f: pa.Table) -> pa.Table:
+        return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([f.num_rows], pa.int64()), "blob": pa.array([_packed(f)], pa.binary())})
+
+    return materialise(dealt.select("grp", "part", "key", "id", "v").groupBy("grp", "part").applyInArrow(build, "grp int, part int, n long, blob binary"), "blocks")
+
+
 def top_k(table: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, <id_col>, score): for each row that `queries` (a SQL condition on the id, there called id) keeps, the k largest inner
-    products with other rows of its dimension, ties to the smaller id; all, if there are fewer.
+    products with rows of its dimension that have another id, ties to the smaller id; all, if there are fewer.
 
-    Of candidates with the same vector only the k + 1 smallest ids can rank, so a vector that many rows share is cut
-    to these before it is dealt. See valid_vectors for what takes part. A score beyond a long is cut to its range. An empty table gives an empty result.
+    Rows that repeat an id are queries and candidates each, and not candidates of one another. Of candidates with the
+    same vector only 2k rows, k of an id at most, can rank, so a vector that many rows share is cut to these before it
+    is dealt. Ids may be numbers or strings. See valid_vectors for what takes part. A score beyond a long is cut to its
+    range. An empty table gives an empty result.
     """
     spark = table.sparkSession
-    small_batches(spark, 10_000)
+    small_batches(spark)
     rows = materialise(valid_vectors(table, id_col, vector_col, scale), "vectors")
-    pivots = spark.sparkContext.broadcast(_pivots(rows))
+    kind = dict(rows.dtypes)["id"]
+    count = min(max(PIVOTS[0], rows.count() // PIVOT_ROWS), PIVOTS[1])
+    pivots = spark.sparkContext.broadcast(_pivots(rows, count))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            cell, far, norm = np.zeros(len(f), np.int64), np.zeros(len(f)), np.zeros(len(f))
+            cell, far = np.zeros(len(f), np.int64), np.zeros(len(f))
             for dim, at in f.groupby("dim").indices.items():
                 x = np.array(f["v"].iloc[at].tolist(), dtype=float)
                 p = pivots.value.get(int(dim))
                 p = np.zeros((1, dim)) if p is None else p
                 d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T, 0))
-                cell[at], far[at], norm[at] = d.argmin(1), d.min(1), np.sqrt((x * x).sum(1))
-            yield f.assign(cell=cell, far=far * (1 + SLACK) + 1e-6, norm=norm)
+                cell[at], far[at] = d.argmin(1), d.min(1)
+            yield f.assign(cell=cell, far=far * (1 + SLACK) + 1e-6)
 
-    dealt = rows.mapInPandas(deal, "id long, v array<long>, dim int, cell long, far double, norm double")
-    same = W.partitionBy("dim", "v").orderBy("id")
+    dealt = materialise(rows.mapInPandas(deal, f"key long, id {kind}, v array<long>, dim int, cell long, far double"), "dealt")
+    of_id = W.partitionBy("dim", "v", "id").orderBy("key")
+    few = dealt.withColumn("__n", F.row_number().over(of_id)).filter(F.col("__n") <= k)
+    few = few.withColumn("__n", F.row_number().over(W.partitionBy("dim", "v").orderBy("id", "key"))).filter(F.col("__n") <= 2 * k).drop("__n")
     asked = dealt.filter(queries)
-    few = dealt.withColumn("__n", F.row_number().over(same)).filter(F.col("__n") <= k + 1).drop("__n")
-    cells = few.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm"))
-    groups = asked.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"))
-    side_c = {(r.dim, r.cell): (r.n, r.far) for r in cells.collect()}
-    side_q = {(r.dim, r.cell): (r.n, r.far) for r in groups.collect()}
-
-    q_of, c_of = _groups({k: v[0] for k, v in side_q.items()}, block // 4), _groups({k: v[0] for k, v in side_c.items()}, block)
-
-    def sides(of: dict[tuple[int, int], tuple[int, int]], cell: str, group: str, parts: str) -> DataFrame:
-        rows = [(d, c, g, n) for (d, c), (g, n) in of.items()]
-        return F.broadcast(spark.createDataFrame(rows, f"dim int, {cell} long, {group} int, {parts} int"))  # a row per cell
-
-    def run(pairs: set[tuple[int, int]], q: DataFrame) -> DataFrame:
-        """Queries of a group against the candidates of the groups paired with it, by blocks."""
-        q_parts, c_parts = dict(q_of.values()), dict(c_of.values())
-        to = F.broadcast(spark.createDataFrame([(a, b, q_parts[a], c_parts[b]) for a, b in sorted(pairs)], "qg int, cg int, qn int, cn int"))
-        key = lambda x, y: F.xxhash64("qg", "cg", x, y)
-        part = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        mine = q.join(sides(q_of, "cell", "qg", "n"), ["dim", "cell"]).withColumn("part", part).join(to, "qg")
-        left = mine.select("id", "v", "floor", F.lit(True).alias("ask"), F.explode(F.transform(every("cn"), lambda j: key("part", j))).alias("key"))
-        theirs = few.join(sides(c_of, "cell", "cg", "n"), ["dim", "cell"]).withColumn("part", part).join(to, "cg")
-        right = theirs.select("id", "v", F.lit(None).cast("double").alias("floor"), F.lit(False).alias("ask"), F.explode(F.transform(every("qn"), lambda j: key(j, "part"))).alias("key"))
-
-        def one(f: pa.Table) -> pa.Table:
-            ask = f["ask"].to_numpy(zero_copy_only=False)
-            x = np.stack(f["v"].to_numpy(zero_copy_only=False)) if f.num_rows else np.zeros((0, 1))
-            ids = f["id"].to_numpy()
-            a, c = x[ask], x[~ask]
-            if len(a) and len(c) and float(np.abs(a).max()) * float(np.abs(c).max()) * x.shape[1] < 2.0**52:
-                a, c = a.astype(float), c.astype(float)  # sums are exact
-                floor = f["floor"].to_numpy(zero_copy_only=False)[ask].astype(float)
-                s, at = search(a, ids[ask], c, ids[~ask], k, np.nan_to_num(floor, nan=-np.inf))
-            else:
-                s, at = _plain(a, ids[ask], c, ids[~ask], k)
-            i, j = np.nonzero(s > -np.inf)
-            return pa.table({"query_id": ids[ask][i], "id": ids[~ask][at[i, j]], "score": pa.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s[i, j]], pa.int64())})
-
-        return left.unionByName(right).groupBy("key").applyInArrow(one, "query_id long, id long, score long")
-
-    none = F.lit(None).cast("double")
-    home = {(q_of[c][0], c_of[c][0]) for c in side_q if c in side_c}
-    empty = spark.createDataFrame([], "query_id long, id long, score long")
-    first = materialise(run(home, asked.withColumn("floor", none)), "own") if home else empty
-    kth = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    floors = first.withColumn("rank", F.row_number().over(kth)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    asked = materialise(asked.join(floors, "id", "left"), "asked")
-    worst = {(r.dim, r.cell): r.w for r in asked.groupBy("dim", "cell").agg(F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("w")).collect()}
-    rest: set[tuple[int, int]] = set()
-    for (d, qc), (_, r) in side_q.items():
-        p = pivots.value[d] if d in pivots.value else np.zeros((1, d))
-        for dd, cc in side_c:
-            if dd == d:
-                s = side_c[d, cc][1]
-                ub = float(p[qc] @ p[cc]) + r * float(np.linalg.norm(p[cc])) + s * float(np.linalg.norm(p[qc])) + r * s
-                if ub * (1 + SLACK * np.sign(ub)) + 1e-6 >= worst[d, qc]:
-                    rest.add((q_of[d, qc][0], c_of[d, cc][0]))
-    rest -= home
-    every = first.unionByName(run(rest, asked)) if rest else first
-    ranked = every.withColumn("rank", F.row_number().over(kth)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    sizes = lambda rows: {(r.dim, r.cell): (r.n, r.far) for r in rows.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    few = materialise(few, "candidates")
+    side_c, side_q = sizes(few), sizes(asked)
+    q_of, c_of = _groups({k: v[0] for k, v in side_q.items()}, max(1, block // 4)), _groups({k: v[0] for k, v in side_c.items()}, block)
+    found = f"qg int, qp int, pos int, query_id {kind}, id {kind}, key long, score long"
+    if not q_of or not c_of:
+        return spark.createDataFrame([], found).select("query_id", F.lit(1).alias("rank"), F.col("id").alias(id_col), "score")
+    q_blocks, c_blocks = _blocks(asked, q_of), _blocks(few, c_of)
+    bounds = _bounds(side_q, side_c, q_of, c_of, pivots.value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for b in batches:
+            for r in range(b.num_rows):
+                qg, qp, q_blob, floors, c_blob = (b.column(i)[r].as_py() for i in range(5))
+                if held is None or held[0] != c_blob:
+                    held = (c_blob, _unpacked(c_blob))
+                q_points, q_ids, _, qt = _unpacked(q_blob)
+                c_points, c_ids, c_keys, ct = held[1]
+                codes = np.unique(np.concatenate([q_ids, c_ids]), return_inverse=True)[1]
+                q_code, c_code = codes[: len(q_ids)], codes[len(q_ids) :]
+                floor = np.full(len(q_ids), -np.inf)
+                for f in floors or []:
+                    floor[f["pos"]] = f["floor"]
+                if float(np.abs(qt.points).max()) * float(np.abs(ct.points).max()) * q_points.shape[1] < 2.0**52:  # sums are exact
+                    s, at = search(qt, q_code, ct, c_code, k, floor)
+                else:
+                    s, at = _plain(q_points, q_code, c_points, c_code, k)
+                i, j = np.nonzero(s > -np.inf)
+                columns = [pa.array([qg] * len(i), pa.int32()), pa.array([qp] * len(i), pa.int32()), pa.array(i, pa.int32()), pa.array(q_ids[i]), pa.array(c_ids[at[i, j]]), pa.array(c_keys[at[i, j]])]
+                scores = pa.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s[i, j]], pa.int64())
+                yield pa.Table.from_arrays([*columns, scores], ["qg", "qp", "pos", "query_id", "id", "key", "score"]).cast(kinds).to_batches()[0] if len(i) else pa.RecordBatch.from_pylist([], kinds)
+
+    kinds = pa.schema([("qg", pa.int32()), ("qp", pa.int32()), ("pos", pa.int32()), ("query_id", _arrow(kind)), ("id", _arrow(kind)), ("key", pa.int64()), ("score", pa.int64())])
+    best = W.partitionBy("qg", "qp", "pos").orderBy(F.desc("score"), "id", "key")
+
+    def search_round(pairs: list[tuple[int, int]], before: DataFrame | None) -> DataFrame:
+        """`before` and what the pairs of groups find, the best k of each query."""
+        to = spark.createDataFrame(pairs, "qg int, cg int")
+        q = q_blocks.select(F.col("grp").alias("qg"), F.col("part").alias("qp"), F.col("blob").alias("q_blob"))
+        if before is not None:
+            kth = before.filter(F.col("rank") == k).groupBy("qg", "qp").agg(F.collect_list(F.struct("pos", F.col("score").cast("double").alias("floor"))).alias("floors"))  # of one block
+            q = q.join(kth, ["qg", "qp"], "left")
+        else:
+            q = q.withColumn("floors", F.lit(None).cast("array<struct<pos:int,floor:double>>"))
+        c = c_blocks.select(F.col("grp").alias("cg"), F.col("part").alias("cp"), F.col("blob").alias("c_blob"))
+        work = q.join(F.broadcast(to), "qg").join(c.hint("shuffle_merge"), "cg").select("qg", "qp", "q_blob", "floors", "c_blob", "cg", "cp")
+        work = work.repartition("cg", "cp", F.pmod(F.xxhash64("qg", "qp"), F.lit(8))).sortWithinPartitions("cg", "cp").select("qg", "qp", "q_blob", "floors", "c_blob")
+        new = work.mapInArrow(run, found)
+        every = before.drop("rank").unionByName(new) if before is not None else new
+        return materialise(every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "round")
+
+    own = sorted({(q_of[c][0], c_of[c][0]) for c in side_q if c in side_c})
+    done, result = set(), None
+    for step in range(3):
+        worst = {} if result is None else _worst(result, k, q_blocks)
+        open_ = [(p, ub) for p, ub in bounds.items() if p not in done and ub >= worst.get(p[0], -np.inf)]
+        if step == 0:
+            pairs = own
+        elif step == 1:
+            by: dict[int, list] = {}
+            for (qg, cg), ub in open_:
+                by.setdefault(qg, []).append((-ub, cg))
+            pairs = sorted((qg, cg) for qg, some in by.items() for _, cg in sorted(some)[:NEAR])
+        else:
+            pairs = sorted(p for p, _ in open_)
+        if pairs:
+            result = search_round(pairs, result)
+            done |= set(pairs)
+    return result.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
+
+
+def _bounds(side_q: dict, side_c: dict, q_of: dict, c_of: dict, pivots: dict[int, np.ndarray]) -> dict[tuple[int, int], float]:
+    """For each pair of groups of one dimension the largest inner product that their members can have, by cells' radii."""
+    out: dict[tuple[int, int], float] = {}
+    for d in {d for d, _ in side_q}:
+        p = pivots.get(d, np.zeros((1, d)))
+        norm = np.linalg.norm(p, axis=1)
+        cs = [c for dd, c in side_c if dd == d]
+        s = np.array([side_c[d, c][1] for c in cs])
+        for dd, qc in side_q:
+            if dd == d and cs:
+                r = side_q[d, qc][1]
+                ub = p[cs] @ p[qc] + r * norm[cs] + s * norm[qc] + r * s
+                ub = ub + np.abs(ub) * SLACK + 1e-6
+                for c, x in zip(cs, ub.tolist()):
+                    pair = (q_of[d, qc][0], c_of[d, c][0])
+                    out[pair] = max(x, out.get(pair, -np.inf))
+    return out
+
+
+def _worst(result: DataFrame, k: int, blocks: DataFrame) -> dict[int, float]:
+    """For each query group the smallest kth score of its queries so far; groups in which one has fewer than k aren't there."""
+    held = result.groupBy("qg").agg(F.sum((F.col("rank") == k).cast("long")).alias("full"), F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+    n = blocks.groupBy(F.col("grp").alias("qg")).agg(F.sum("n").alias("n"))
+    return {r.qg: float(r.least) for r in held.join(n, "qg").filter("full = n").collect()}
 
 
 def _plain(a: np.ndarray, a_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
