@@ -3,7 +3,8 @@ model fitted by dual coordinate descent.
 
 Tokens are words and runs of punctuation. Besides token n-grams, n-grams of token shapes (capitals, lower case, digits,
 the punctuation itself, a repeat of the token before) are indicators, so that the model sees layout and not only
-words. The log-count ratios and the weights fold into one value per coordinate, 2^BITS in number.
+words. A coordinate, of which there are 2^BITS, keeps its log-count ratio and its weight: a text's ratios also give the
+length that its row is scaled by.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .features import fold, joined
-from .toxicity import labelled_sample
+from .toxicity import bounded, labelled_sample
 
 BITS = 18
 #: Labelled rows that the model is fitted on, about, at most.
@@ -82,7 +83,7 @@ def coordinates(h: np.ndarray, shape: np.ndarray, bits: int = BITS) -> np.ndarra
 
 @dataclass
 class Model:
-    weight: np.ndarray  # by coordinate: log-count ratio times hinge-loss weight
+    weight: np.ndarray  # 2 × coordinates: hinge-loss weights, log-count ratios
     bias: float
     slope: float
     bits: int
@@ -120,7 +121,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model | None:
-    """A model from the sample of labelled rows; None without rows of both labels."""
+    """A model from the sample of labelled rows, which is bounded in rows and bytes; None without rows of both labels.
+
+    Null and empty texts have no coordinates; documents that repeat an id learn its label each; other columns don't matter.
+    """
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, keep, id_col, text_col, fit_rows)
 
@@ -137,14 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "qual
             m = train([np.frombuffer(f[3], "<i4") for f in found], y)
             yield pa.RecordBatch.from_arrays([pa.array([m.weight.astype("<f4").tobytes()]), pa.array([m.bias]), pa.array([m.slope])], ["w", "b", "s"])
 
-    rows = sample.select(id_col, "text", "label").mapInArrow(hashed, "id string, label int, x binary").repartition(1).mapInArrow(learn, "w binary, b double, s double").collect()
+    rows = sample.select(id_col, "text", "label").mapInArrow(hashed, "id string, label int, x binary")
+    rows = bounded(rows).repartition(1).mapInArrow(learn, "w binary, b double, s double").collect()
     if not rows:
         return None
     return Model(np.frombuffer(rows[0].w, "<f4").reshape(2, -1), rows[0].b, rows[0].s, BITS)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): for each row a value from 0 to 1 that is CUT at margin 0; null and empty texts have the bias as margin, all rows CUT without a model."""
+    """(id, score): for each row a value from 0 to 1 that is CUT at margin 0; null and empty texts have the bias as margin, all rows CUT without a model.
+
+    Repeated rows and rows without id are scored each, texts of any length as a whole; other columns, whatever their
+    names, don't matter. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_filter, small_batches
+from .common import fraction_filter, materialise, small_batches
 from .features import fold, joined
 
 BITS = 20
 #: Labelled rows that the weights are fitted on, about, at most.
 FIT_ROWS = 8000
+#: Bytes of the coordinates that these rows have together, at most; beyond that a smaller share of the rows is taken.
+FIT_BYTES = 256 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 10.0, 1.0, 4
 STEM = 4
 CACHE = 300_000
@@ -109,8 +111,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
     return docs.filter(keep).filter(some).select(id_col, F.col(text_col).alias("text")).join(known, id_col)
 
 
+def bounded(hashed: DataFrame, limit: int = FIT_BYTES) -> DataFrame:
+    """The rows (id, label, x) written, or the share of them, by a hash of the id, whose coordinates take `limit` bytes."""
+    held = materialise(hashed, "labelled")
+    size = held.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    return held if size <= limit else held.filter(fraction_filter(F.col("id"), limit / size, "bytes"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Weights | None:
-    """Weights from the sample of labelled rows; texts are hashed on the executors and one task learns; None without rows of both labels."""
+    """Weights from the sample of labelled rows, which is bounded in rows and bytes; texts are hashed as a whole on the
+    executors and one task learns; None without rows of both labels.
+
+    Null and empty texts have no coordinates; documents that repeat an id learn its label each; other columns don't matter.
+    """
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, keep, id_col, text_col, fit_rows)
 
@@ -127,14 +140,19 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxi
         if w:
             yield pa.RecordBatch.from_arrays([pa.array([w.index.astype("<i4").tobytes()]), pa.array([w.value.astype("<f4").tobytes()]), pa.array([w.bias])], ["i", "v", "b"])
 
-    rows = sample.select(id_col, "text", "label").mapInArrow(hashed, "id string, label int, x binary").repartition(1).mapInArrow(learn, "i binary, v binary, b double").collect()
+    rows = sample.select(id_col, "text", "label").mapInArrow(hashed, "id string, label int, x binary")
+    rows = bounded(rows).repartition(1).mapInArrow(learn, "i binary, v binary, b double").collect()
     if not rows:
         return None
     return Weights(np.frombuffer(rows[0].i, "<i4"), np.frombuffer(rows[0].v, "<f4"), rows[0].b, BITS)
 
 
 def score(docs: DataFrame, weights: Weights | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): the probability of label 1 for each row; null and empty texts get that of no features, 0 without weights."""
+    """(id, score): the probability of label 1 for each row; null and empty texts get that of no features, 0 without weights.
+
+    Repeated rows and rows without id are scored each, texts of any length as a whole; other columns, whatever their
+    names, don't matter. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
