@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, fixity, langid, packing, quality, secret_scan, simhash, topk_search, toxicity
-from .common import remainder, table
+from .common import remainder, shared_path, table
 
 
 def tokenizer_path() -> str:
@@ -57,8 +57,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = map(count, ("assign", "access", "hex"))
-    spans = secret_scan.span_text(F.col("secret_spans"))
-    return out.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    base = F.filter("secret_spans", lambda s: s["number"] < len(secret_scan.BASE))
+    return out.select("doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("secret_spans")).alias("spans"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +67,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' records against a replica in which the record of every 97th page has one letter changed."""
+    """The pages' records against a replica, written as WARC files, in which the body of every 97th page has one letter changed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     flipped = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    first, second = fixity.manifest(pages), fixity.manifest(pages.withColumn("html", flipped))
-    roots = fixity.tree(first)[-1].select("archive", F.col("hash").alias("archive_root"))
-    found = fixity.audit(first, second)
-    out = first.join(found, ["archive", "record_no"], "left").join(roots, "archive")
-    return out.select("page_id", "archive", "record_no", "offset", "length", "record_sha256", "archive_root", F.coalesce("state", F.lit("intact")).alias("state"))
+    replica = shared_path(spark, "replica")
+    fixity.write_warc(pages.withColumn("html", flipped), replica, compression="gzip")
+    first, second = fixity.manifest(pages), fixity.warc_manifest(spark, replica)
+    found = fixity.audit(first, second).filter("state <> 'extra'").select("archive", "part", "record_no", "state")
+    out = fixity.records_of(first).join(found, ["archive", "part", "record_no"], "left")
+    state = F.coalesce("state", F.lit("intact")).alias("state")
+    return out.select(F.col("record_id").cast("long").alias("page_id"), "archive", "record_no", "offset", "length", "record_sha256", "archive_root", state)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +101,17 @@ WITH m AS (
          regexp_extract_all(text, k.rx) AS found, string_split_regex(text, k.rx) AS gaps, regexp_extract_all(text, k.rx, k.g) AS part
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents),
        (VALUES ('assign', 0, 2, 6, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
-               ('access', 1, 0, 20, 'AKIA[A-Z0-9]+'), ('hex', 2, 0, 24, '[0-9a-f]{24,}')) k(kind, n, g, least, rx)),
+               ('access', 1, 0, 20, 'AKIA[A-Z0-9]+'), ('hex', 2, 0, 24, '[0-9a-f]{24,}'),
+               ('pem', 3, 0, 1, '-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D\x20]*'),
+               ('jwt', 4, 0, 1, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+'),
+               ('vendor', 5, 0, 1, '(ghp_|gho_|ghs_|github_pat_|glpat-|xoxb-|xoxp-|sk_live_|rk_live_|npm_|AIza)[A-Za-z0-9_-]{16,}'),
+               ('uri', 6, 0, 1, '[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@')) k(kind, n, g, least, rx)),
 s AS (
   SELECT doc_id, kind, n, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS b, length(found[i]) AS size
   FROM m WHERE length(part[i]) >= least),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-        string_agg(kind || ':' || b::BIGINT || ':' || (b + size)::BIGINT, ',' ORDER BY b, n) AS spans FROM s GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        string_agg(kind || ':' || b::BIGINT || ':' || (b + size)::BIGINT, ',' ORDER BY b, n) AS spans, string_agg(kind || ':' || b::BIGINT || ':' || (b + size)::BIGINT, ',' ORDER BY b, n) FILTER (n < 3) AS base FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN a USING (doc_id)""",
     "op8_warc": r"""
 WITH r AS (
@@ -120,12 +126,12 @@ l0 AS (SELECT *, sha256(record_sha256 || ':' || "offset" || ':' || length) AS le
 l1 AS (SELECT archive, record_no // 16 AS node, sha256(string_agg(leaf, '' ORDER BY record_no)) AS h FROM l0 WHERE s = 1 GROUP BY ALL),
 l2 AS (SELECT archive, node // 16 AS node, sha256(string_agg(h, '' ORDER BY l1.node)) AS h FROM l1 GROUP BY archive, l1.node // 16),
 l3 AS (SELECT archive, sha256(string_agg(h, '' ORDER BY node)) AS archive_root FROM l2 GROUP BY archive)
-SELECT x.page_id, archive, record_no, x."offset", x.length, x.record_sha256, archive_root, CASE WHEN x.leaf = y.leaf THEN 'intact' ELSE 'damaged' END AS state
+SELECT x.page_id, archive, record_no, x."offset", x.length, x.record_sha256, archive_root, CASE WHEN x.leaf = y.leaf THEN 'intact' WHEN x.record_sha256 = y.record_sha256 THEN 'moved' ELSE 'damaged' END AS state
 FROM (SELECT * FROM l0 WHERE s = 1) x JOIN (SELECT * FROM l0 WHERE s = 2) y USING (archive, record_no) JOIN l3 USING (archive)""",
     "op10_topk": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
 }
