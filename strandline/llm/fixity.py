@@ -54,24 +54,26 @@ def warc_record(url: Column, body: Column, record_id: Column) -> Column:
 def placed(pages: DataFrame, id_col: str, url_col: str, body_col: str, text: bool) -> DataFrame:
     """(id, archive, part, sha, length[, record]): which file a record is in; order within it is by id and hash.
 
-    File a holds the ids from a · FILE_RECORDS; a null id goes to a file below 0 by a hash of its record. Equal records
-    are counted first and dealt out again in runs of PART_RECORDS; a file with too many records is cut into parts by a
-    hash, so neither a repeated id nor a repeated record makes a file, or a task, that grows with the table.
+    File a holds the ids from a · FILE_RECORDS; a null id goes to a file below 0 by a hash of its record. A file with more
+    than PART_RECORDS records is cut into parts by a hash, for which its equal records are counted first and dealt out again
+    in runs, so neither a repeated id nor a repeated record makes a file, or a task, that grows with the table.
     """
     record = warc_record(F.col(url_col), F.col(body_col), F.col(id_col))
     rows = pages.select(F.col(id_col).alias("id"), record.alias("record"))
     archive = F.coalesce(F.floor(F.col("id") / FILE_RECORDS).cast("long"), -1 - F.pmod(F.xxhash64("record"), F.lit(NULL_FILES)))
     rows = rows.select("id", archive.alias("archive"), F.sha2("record", 256).alias("sha"), F.octet_length("record").cast("long").alias("length"), *(["record"] if text else []))
     keys = rows.columns
-    met = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sizes = materialise(rows.groupBy("archive").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > PART_RECORDS), "large-files")
-    large = F.broadcast(sizes) if sizes.count() <= MANY else sizes
-    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART_RECORDS).cast("long")))
-    runs = met.withColumn("run", run).join(large, "archive", "left")
-    parts = F.ceil(F.coalesce("rows", F.lit(1)) / PART_RECORDS).cast("long")
-    part = F.pmod(F.xxhash64("sha", "run"), parts).cast("int")
+    many = sizes.count()
+    if not many:
+        return rows.withColumn("part", F.lit(0))
+    large = F.broadcast(sizes) if many <= MANY else sizes
+    met = rows.join(large, "archive").groupBy(*keys, "rows").agg(F.count(F.lit(1)).alias("n"))
+    runs = met.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART_RECORDS).cast("long"))))
+    part = F.pmod(F.xxhash64("sha", "run"), F.ceil(F.col("rows") / PART_RECORDS).cast("long")).cast("int")
     held = F.least(F.col("n") - F.col("run") * PART_RECORDS, F.lit(PART_RECORDS))
-    return runs.withColumn("part", part).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), held))).select(*keys, "part")
+    dealt = runs.withColumn("part", part).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), held))).select(*keys, "part")
+    return rows.join(large, "archive", "left_anti").withColumn("part", F.lit(0)).unionByName(dealt)
 
 
 def _trees(records: DataFrame, levels: int, fan: int) -> DataFrame:
