@@ -104,7 +104,7 @@ WITH m AS (
                ('access', 1, 0, 20, 'AKIA[A-Z0-9]+'), ('hex', 2, 0, 24, '[0-9a-f]{24,}'),
                ('pem', 3, 0, 1, '-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D\x20]*'),
                ('jwt', 4, 0, 1, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+'),
-               ('vendor', 5, 0, 1, '(ghp_|gho_|ghs_|github_pat_|glpat-|xoxb-|xoxp-|sk_live_|rk_live_|npm_|AIza)[A-Za-z0-9_-]{16,}'),
+               ('vendor', 5, 0, 1, '(ghp_|github_pat_|glpat-|xoxb-|sk_live_|npm_|AIza)[A-Za-z0-9_-]{16,}'),
                ('uri', 6, 0, 1, '[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@')) k(kind, n, g, least, rx)),
 s AS (
   SELECT doc_id, kind, n, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS b, length(found[i]) AS size

@@ -5,8 +5,8 @@ must contain (in lower case). The index holds, for the trigrams that the rules a
 with that trigram; it is written once. A clause's postings are intersected by id, and only the candidates of a rule are
 matched with its expression. A rule without mandatory trigrams is matched against all documents, in place.
 
-A row whose own text fails all clauses can't be a candidate, so its text doesn't cross the network: rows that may be
-candidates meet the intersected postings by id, the others go on as they are.
+Texts stay where they are while the candidates' ids are few enough to be broadcast. Beyond that a row whose own text has
+none of the rarest trigrams can't be a candidate and goes on as it is; the others' texts meet the candidates by id.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ from .common import materialise
 
 #: More strings than that aren't told apart; a part of an expression then counts as anything.
 MOST_STRINGS = 64
+#: Trigrams of a clause that the index is asked for; fewer than all still hold for every match.
+PER_CLAUSE = 2
+#: Candidates whose ids are broadcast, at most; more are joined by a shuffle of the texts that may match.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +59,7 @@ RULES = (
     *BASE,
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D\x20]*"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("vendor", r"(ghp_|gho_|ghs_|github_pat_|glpat-|xoxb-|xoxp-|sk_live_|rk_live_|npm_|AIza)[A-Za-z0-9_-]{16,}"),
+    Rule("vendor", r"(ghp_|github_pat_|glpat-|xoxb-|sk_live_|npm_|AIza)[A-Za-z0-9_-]{16,}"),
     Rule("uri", r"[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@"),
 )
 
@@ -110,8 +114,14 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return best
 
 
+def _rare(trigram: str) -> tuple[int, str]:
+    """Sorts trigrams by how rare they are likely to be in prose: first those with other characters than letters, then with rare letters."""
+    return -sum(3 if not c.isalpha() else 1 if c in "jkqvwxyz" else 0 for c in trigram), trigram
+
+
 def _clauses(rules: tuple[Rule, ...]) -> list[tuple[int, int, frozenset[str]]]:
-    return [(i, c, clause) for i, r in enumerate(rules) for c, clause in enumerate(trigram_query(r.pattern))]
+    """(rule, clause, trigrams that the index is asked for)."""
+    return [(i, c, frozenset(sorted(clause, key=_rare)[:PER_CLAUSE])) for i, r in enumerate(rules) for c, clause in enumerate(trigram_query(r.pattern))]
 
 
 def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,18 +197,16 @@ def _located(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: st
         return rows.withColumn("__spans", _found(text, rules, scans))
     trigrams = sorted({t for _, _, c in clauses for t in c})
     index = materialise(postings(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")), trigrams, "__id", "__text"), "postings")
-    met = candidates(index, rules, "__id")
-    low, may = F.lower(text), F.lit(False)
-    for clause in sorted({tuple(sorted(c)) for _, _, c in clauses}):
-        all_in = F.lit(True)
-        for t in clause:
-            all_in = all_in & F.contains(low, F.lit(t))
-        may = may | all_in
-    some, rest = rows.filter(may), rows.filter(~may)
-    joined = some.join(met, F.col("__row")[id_col].eqNullSafe(F.col("__id")), "left")
+    met = materialise(candidates(index, rules, "__id"), "candidates")
     asked = {i: F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0 for i in indexed}
-    one = joined.select("__row", _found(text, rules, {**scans, **asked}).alias("__spans"))
-    return one.unionByName(rest.select("__row", _found(text, rules, scans).alias("__spans")))
+    own = F.col("__row")[id_col].eqNullSafe(F.col("__id"))
+    if met.count() <= FEW:
+        return rows.join(F.broadcast(met), own, "left").select("__row", _found(text, rules, {**scans, **asked}).alias("__spans"))
+    may = F.lit(False)
+    for t in sorted({min(c, key=_rare) for _, _, c in clauses}):
+        may = may | F.contains(F.lower(text), F.lit(t))
+    some = rows.filter(may).join(met, own, "left").select("__row", _found(text, rules, {**scans, **asked}).alias("__spans"))
+    return some.unionByName(rows.filter(~may).select("__row", _found(text, rules, scans).alias("__spans")))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,6 +117,11 @@ def test_secret_spans(docs, none):
     assert {k.split(":")[0] for k in spans(KEYS).split(",")} == {"assign", "pem", "jwt", "vendor", "uri"}
 
 
+def test_many_candidates_join_by_id(docs, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FEW", 0)
+    test_secret_spans(docs, docs.limit(0).select("doc_id", "text"))
+
+
 def test_base_spans_stay(docs):
     some = secret_scan.scan_secrets(docs, secret_scan.BASE)
     assert sorted((str(r.doc_id), r.s) for r in some.select("doc_id", secret_scan.span_text(F.col("secret_spans")).alias("s")).collect()) == sorted((str(i), spans(t, 3)) for i, t in TEXTS)
