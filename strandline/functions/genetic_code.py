@@ -12,36 +12,36 @@ from .moltype import DNA, col, literal_map
 from .sequence import motifs
 
 CODONS = ["".join(c) for c in product("TCAG", repeat=3)]
-# The standard code in the order of CODONS, and how the other numbered codes of the public table differ.
-STANDARD = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-NAMES_AND_CHANGES = {
-    1: ("Standard", ""),
-    2: ("Vertebrate Mitochondrial", "AGA* AGG* ATAM TGAW"),
-    3: ("Yeast Mitochondrial", "ATAM CTTT CTCT CTAT CTGT TGAW"),
-    4: ("Mold, Protozoan and Coelenterate Mitochondrial; Mycoplasma; Spiroplasma", "TGAW"),
-    5: ("Invertebrate Mitochondrial", "AGAS AGGS ATAM TGAW"),
-    6: ("Ciliate, Dasycladacean and Hexamita Nuclear", "TAAQ TAGQ"),
-    9: ("Echinoderm and Flatworm Mitochondrial", "AAAN AGAS AGGS TGAW"),
-    10: ("Euplotid Nuclear", "TGAC"),
-    11: ("Bacterial, Archaeal and Plant Plastid", ""),
-    12: ("Alternative Yeast Nuclear", "CTGS"),
-    13: ("Ascidian Mitochondrial", "AGAG AGGG ATAM TGAW"),
-    14: ("Alternative Flatworm Mitochondrial", "AAAN AGAS AGGS TAAY TGAW"),
-    15: ("Blepharisma Nuclear", "TAGQ"),
-    16: ("Chlorophycean Mitochondrial", "TAGL"),
-    21: ("Trematode Mitochondrial", "TGAW ATAM AGAS AGGS AAAN"),
-    22: ("Scenedesmus obliquus Mitochondrial", "TCA* TAGL"),
-    23: ("Thraustochytrium Mitochondrial", "TTA*"),
-    24: ("Rhabdopleuridae Mitochondrial", "AGAS AGGK TGAW"),
-    25: ("Candidate Division SR1 and Gracilibacteria", "TGAG"),
-    26: ("Pachysolen tannophilus Nuclear", "CTGA"),
-    27: ("Karyorelict Nuclear", "TAAQ TAGQ TGAW"),
-    29: ("Mesodinium Nuclear", "TAAY TAGY"),
-    30: ("Peritrich Nuclear", "TAAE TAGE"),
-    31: ("Blastocrithidia Nuclear", "TAAE TAGE TGAW"),
-    33: ("Cephalodiscidae Mitochondrial", "AGAS AGGK TAAY TGAW"),
-}
-STARTS = ("TTG", "CTG", "ATG")
+# Fixed values, from the public table of genetic codes: number, amino acids and start codons in the order of CODONS, name.
+PUBLIC_CODES = """
+1 FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG ---M---------------M---------------M---------------------------- Standard
+2 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG --------------------------------MMMM---------------M------------ Vertebrate Mitochondrial
+3 FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG ----------------------------------MM---------------M------------ Yeast Mitochondrial
+4 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG --MM---------------M------------MMMM---------------M------------ Mold Mitochondrial; Protozoan Mitochondrial; Coelenterate Mitochondrial; Mycoplasma; Spiroplasma
+5 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG ---M----------------------------MMMM---------------M------------ Invertebrate Mitochondrial
+6 FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Ciliate Nuclear; Dasycladacean Nuclear; Hexamita Nuclear
+9 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG -----------------------------------M---------------M------------ Echinoderm Mitochondrial; Flatworm Mitochondrial
+10 FFLLSSSSYY**CCCWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Euplotid Nuclear
+11 FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG ---M---------------M------------MMMM---------------M------------ Bacterial, Archaeal and Plant Plastid
+12 FFLLSSSSYY**CC*WLLLSPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -------------------M---------------M---------------------------- Alternative Yeast Nuclear
+13 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSGGVVVVAAAADDEEGGGG ---M------------------------------MM---------------M------------ Ascidian Mitochondrial
+14 FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Alternative Flatworm Mitochondrial
+15 FFLLSSSSYY*QCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Blepharisma Macronuclear
+16 FFLLSSSSYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Chlorophycean Mitochondrial
+21 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNNKSSSSVVVVAAAADDEEGGGG -----------------------------------M---------------M------------ Trematode Mitochondrial
+22 FFLLSS*SYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Scenedesmus obliquus Mitochondrial
+23 FF*LSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG --------------------------------M--M---------------M------------ Thraustochytrium Mitochondrial
+24 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSSKVVVVAAAADDEEGGGG ---M---------------M---------------M---------------M------------ Rhabdopleuridae Mitochondrial
+25 FFLLSSSSYY**CCGWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG ---M-------------------------------M---------------M------------ Candidate Division SR1 and Gracilibacteria
+26 FFLLSSSSYY**CC*WLLLAPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -------------------M---------------M---------------------------- Pachysolen tannophilus Nuclear
+27 FFLLSSSSYYQQCCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Karyorelict Nuclear
+28 FFLLSSSSYYQQCCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Condylostoma Nuclear
+29 FFLLSSSSYYYYCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Mesodinium Nuclear
+30 FFLLSSSSYYEECC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Peritrich Nuclear
+31 FFLLSSSSYYEECCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG -----------------------------------M---------------------------- Blastocrithidia Nuclear
+32 FFLLSSSSYY*WCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG ---M---------------M------------MMMM---------------M------------ Balanophoraceae Plastid
+33 FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSSKVVVVAAAADDEEGGGG ---M---------------M---------------M---------------M------------ Cephalodiscidae Mitochondrial
+"""
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,7 @@ class GeneticCode:
     id: int
     name: str
     amino: tuple[str, ...]
+    start_map: str
 
     @property
     def table(self) -> dict[str, str]:
@@ -58,6 +59,10 @@ class GeneticCode:
     def stops(self) -> list[str]:
         return [c for c, a in self.table.items() if a == "*"]
 
+    @property
+    def starts(self) -> list[str]:
+        return [c for c, m in zip(CODONS, self.start_map) if m == "M"]
+
     @property
     def sense(self) -> list[str]:
         return [c for c, a in self.table.items() if a != "*"]
@@ -80,7 +85,7 @@ class GeneticCode:
         return col(codon).isin(*self.stops)
 
     def is_start(self, codon: Column | str) -> Column:
-        return col(codon).isin(*STARTS)
+        return col(codon).isin(*self.starts)
 
     def has_terminal_stop(self, s: Column | str) -> Column:
         """Whether the ungapped sequence is whole codons and ends with a stop."""
@@ -136,14 +141,23 @@ class GeneticCode:
         return spark.createDataFrame(rows, "amino string, codons string")
 
 
-def get_code(code: int | str = 1) -> GeneticCode:
+def _catalogue() -> dict[int, GeneticCode]:
+    rows = (line.split(" ", 3) for line in PUBLIC_CODES.strip().splitlines())
+    return {int(number): GeneticCode(int(number), name, tuple(amino), starts) for number, amino, starts, name in rows}
+
+
+CODES = _catalogue()
+
+
+def get_code(code: int | str | GeneticCode = 1) -> GeneticCode:
     """By number, or by name as the catalogue has it."""
-    number = code if isinstance(code, int) else int(code) if code.isdigit() else next(k for k, v in NAMES_AND_CHANGES.items() if v[0] == code)
-    name, changes = NAMES_AND_CHANGES[number]
-    table = dict(zip(CODONS, STANDARD))
-    table.update({c[:3]: c[3] for c in changes.split()})
-    return GeneticCode(number, name, tuple(table[c] for c in CODONS))
+    if isinstance(code, GeneticCode):
+        return code
+    number = int(code) if str(code).isdigit() else next((k for k, v in CODES.items() if v.name == code), None)
+    if number not in CODES:
+        raise ValueError(f"no genetic code {code!r}")
+    return CODES[number]
 
 
 def available_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v[0]) for k, v in NAMES_AND_CHANGES.items()], "code_id int, name string")
+    return spark.createDataFrame([(k, v.name) for k, v in CODES.items()], "code_id int, name string")

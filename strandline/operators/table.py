@@ -226,10 +226,19 @@ def normalized(df: DataFrame, columns: Sequence[str], by_row: bool = True, denom
 
 
 # reshaping
+#: Columns that transposed() makes at most.
+MOST_COLUMNS = 10_000
+
+
 def transposed(df: DataFrame, new_column: str, header: str | None = None) -> DataFrame:
-    """The column `header`, whose values must differ, becomes the header; the other columns become rows named in `new_column`."""
+    """The column `header`, whose values must differ, becomes the header; the other columns become rows named in `new_column`.
+
+    A table of more than MOST_COLUMNS rows is an error.
+    """
     header = header or df.columns[0]
-    values = [r[0] for r in df.select(quoted(header)).collect()]
+    values = [r[0] for r in df.select(quoted(header)).limit(MOST_COLUMNS + 1).collect()]
+    if len(values) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} rows can't become columns")
     if len(set(values)) != len(values):
         raise ValueError(f"values of {header} repeat")
     rest = [c for c in df.columns if c != header]

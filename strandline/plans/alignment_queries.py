@@ -179,7 +179,7 @@ def profile_ic_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 # pairwise distances
-_M = f"""{ALN_SQL}, u AS (SELECT min(name) AS name, seq FROM aln GROUP BY seq), q AS (SELECT a.name AS name1, b.name AS name2,
+_M = f"""{ALN_SQL}, u AS (SELECT name, seq FROM aln), q AS (SELECT a.name AS name1, b.name AS name2,
   list_transform(range(1, 65), lambda i: a.seq[i] || b.seq[i]) AS z FROM u a JOIN u b ON a.name < b.name),
 m AS (SELECT name1, name2, len(list_filter(z, lambda x: x NOT LIKE '%-%')) AS valid, len(list_filter(z, lambda x: x NOT LIKE '%-%' AND x[1] <> x[2])) AS diffs, z FROM q)"""
 

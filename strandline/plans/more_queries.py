@@ -38,14 +38,8 @@ def aln_take_seqs_if(spark: SparkSession, d: str) -> DataFrame:
     return A.take_seqs_if(alignment(spark, d), F.contains("seq", F.lit("--")), negate=True).select("name")
 
 
-@register("aln_concat", f"WITH {ALN_SQL} SELECT name, seq || right(seq, 10) AS seq FROM aln WHERE name % 2 = 0")
+@register("aln_concat", f"WITH {ALN_SQL} SELECT name, seq || right(seq, 10) AS seq FROM aln")
 def aln_concat(spark: SparkSession, d: str) -> DataFrame:
-    aln = alignment(spark, d)
-    return A.concat([aln, A.fixed_length(aln.filter("name % 2 = 0"), 10, "last")]).select("name", "seq")
-
-
-@register("aln_concat_all", f"WITH {ALN_SQL} SELECT name, seq || right(seq, 10) AS seq FROM aln")
-def aln_concat_all(spark: SparkSession, d: str) -> DataFrame:
     aln = alignment(spark, d)
     return A.concat([aln, A.fixed_length(aln, 10, "last")]).select("name", "seq")
 
@@ -145,7 +139,7 @@ def intervals_join_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 # distances and profiles
-@register("dist_percent_identity", f"""WITH {ALN_SQL}, u AS (SELECT min(name) AS name, seq FROM aln GROUP BY seq), q AS (SELECT a.name AS name1, b.name AS name2, list_transform(range(1, 65), lambda i: a.seq[i] || b.seq[i]) AS z FROM u a JOIN u b ON a.name < b.name),
+@register("dist_percent_identity", f"""WITH {ALN_SQL}, u AS (SELECT name, seq FROM aln), q AS (SELECT a.name AS name1, b.name AS name2, list_transform(range(1, 65), lambda i: a.seq[i] || b.seq[i]) AS z FROM u a JOIN u b ON a.name < b.name),
 m AS (SELECT name1, name2, len(list_filter(z, lambda x: x NOT LIKE '%-%')) AS valid, len(list_filter(z, lambda x: x NOT LIKE '%-%' AND x[1] = x[2])) AS same FROM q) SELECT name1, name2, round(same / nullif(valid, 0), 8) AS identity FROM m""")
 def dist_percent_identity(spark: SparkSession, d: str) -> DataFrame:
     return D.percent_identity(alignment(spark, d)).withColumn("identity", F.round("identity", 8))

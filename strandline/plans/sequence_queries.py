@@ -51,16 +51,8 @@ def seq_character_counts(spark: SparkSession, d: str) -> DataFrame:
     return codes(spark, d).select("name", m.count_gaps("seq").cast("long").alias("gaps"), m.count_degenerate("seq").cast("long").alias("degenerate"), S.canonical_length("seq").cast("long").alias("plain"))
 
 
-@register("seq_variants_log", f"""WITH {CODES_SQL} SELECT name, round((length(regexp_replace(seq, '[^RYKMSW]', '', 'g')) * ln(2) + length(regexp_replace(seq, '[^BDHV]', '', 'g')) * ln(3) + length(regexp_replace(seq, '[^N]', '', 'g')) * ln(4)), 4) AS v FROM seqs
-WHERE length(regexp_replace(seq, '[^RYKMSWBDHVN]', '', 'g')) < 400""")
+@register("seq_variants_log", f"""WITH {CODES_SQL} SELECT name, round(length(regexp_replace(seq, '[^RYKMSW]', '', 'g')) * ln(2) + length(regexp_replace(seq, '[^BDHV]', '', 'g')) * ln(3) + length(regexp_replace(seq, '[^N]', '', 'g')) * ln(4), 4) AS v FROM seqs""")
 def seq_variants_log(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences whose number of variants fits a double."""
-    rows = codes(spark, d).filter(M.DNA.count_degenerate("seq") < 400)
-    return rows.select("name", F.round(F.ln(M.DNA.count_variants("seq")), 4).alias("v"))
-
-
-@register("seq_variants_log_all", f"""WITH {CODES_SQL} SELECT name, round(length(regexp_replace(seq, '[^RYKMSW]', '', 'g')) * ln(2) + length(regexp_replace(seq, '[^BDHV]', '', 'g')) * ln(3) + length(regexp_replace(seq, '[^N]', '', 'g')) * ln(4), 4) AS v FROM seqs""")
-def seq_variants_log_all(spark: SparkSession, d: str) -> DataFrame:
     """Every sequence, however many variants it has."""
     return codes(spark, d).select("name", F.round(M.DNA.log_variants("seq"), 4).alias("v"))
 

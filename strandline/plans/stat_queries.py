@@ -89,10 +89,10 @@ def stat_kendall(spark: SparkSession, d: str) -> DataFrame:
 _SIG = "s AS (SELECT vec_id AS name, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 
-@register("period_auto_corr", f"WITH {_SIG} SELECT name, list_transform(range(2, 9), lambda k: round(list_sum(list_transform(range(1, 65 - k), lambda i: v[i] * v[i + k])) / 64, 6)) AS a FROM s")
+@register("period_auto_corr", f"WITH {_SIG} SELECT name, list_transform(range(2, 9), lambda k: round(list_sum(list_transform(range(1, 65 - k), lambda i: v[i] * v[i + k])) / 64, 6) + 0.0) AS a FROM s")
 def period_auto_corr(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("v"))
-    return rows.select("name", F.transform(T.auto_corr(F.col("v"), 2, 8), lambda x: F.round(x, 6)).alias("a"))
+    return rows.select("name", F.transform(T.auto_corr(F.col("v"), 2, 8), lambda x: F.round(x, 6) + 0.0).alias("a")  # no minus before a zero)
 
 
 @register("period_ipdft", f"WITH {_SIG} SELECT name, list_transform(range(2, 9), lambda p: round(sqrt(list_sum(list_transform(range(64), lambda i: v[i + 1] * cos(i * 2 * pi() / p))) ** 2 + list_sum(list_transform(range(64), lambda i: v[i + 1] * sin(i * 2 * pi() / p))) ** 2), 5)) AS a FROM s")

@@ -122,7 +122,11 @@ def table_normalized_columns(spark: SparkSession, d: str) -> DataFrame:
     return out.select("s_suppkey", F.round("s_acctbal", 8).alias("s_acctbal"))
 
 
-@register("table_transposed", "PIVOT (SELECT 'n' AS stat, r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name) ON r_name USING first(n)")
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@register("table_transposed", """WITH n AS (SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
+SELECT 'n' AS stat, """ + ", ".join(f"max(n) FILTER (r_name = '{r}') AS \"{r}\"" for r in REGIONS) + " FROM n")
 def table_transposed(spark: SparkSession, d: str) -> DataFrame:
     n = O.inner_join(table(spark, d, "nation"), table(spark, d, "region"), "n_regionkey", "r_regionkey")
     return O.transposed(n.groupBy("right_r_name").agg(F.count(F.lit(1)).alias("n")), "stat", "right_r_name")

@@ -37,7 +37,7 @@ def test_log_of_many_variants(spark):
 
 def test_every_text_has_a_log_of_variants(spark, tmp_path):
     spark.createDataFrame([(1, "n" * 2000), (2, "Run, by a bank"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.name: r.v for r in registry.QUERIES["seq_variants_log_all"](spark, str(tmp_path)).collect()}
+    got = {r.name: r.v for r in registry.QUERIES["seq_variants_log"](spark, str(tmp_path)).collect()}
     assert got[1] == pytest.approx(2000 * math.log(4), abs=1e-4) and got[2] > 0 and got[3] == 0
 
 
@@ -118,7 +118,7 @@ def test_concat_of_unequal_names(spark, aln):
 
 def test_concat_of_a_whole_alignment(spark, tmp_path):
     spark.createDataFrame([(i, [-0.5] * 12) for i in range(5)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert seqs(registry.QUERIES["aln_concat_all"](spark, str(tmp_path))) == {i: "A" * 22 for i in range(5)}
+    assert seqs(registry.QUERIES["aln_concat"](spark, str(tmp_path))) == {i: "A" * 22 for i in range(5)}
 
 
 def test_the_following_row_over_gaps_of_names(spark):
