@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -109,3 +109,24 @@ def chi2_pvalue(spark: SparkSession, x: Column | str, df: Column | str) -> Colum
         return pd.Series([None if pd.isna(a) or pd.isna(b) else chi2_sf(float(a), int(b)) for a, b in zip(v, d)], dtype="float64")
 
     return sf(x, df)
+
+
+def kolmogorov_one_sided(d: float, n: int) -> float:
+    """The probability that the one-sided one-sample statistic stays below d."""
+    if d <= 0 or d >= 1:
+        return float(d >= 1)
+    total = 0.0
+    for j in range(math.floor(n * (1 - d)) + 1):
+        choose = math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1)
+        rest = 1 - d - j / n
+        if rest > 0 or n == j:
+            total += math.exp(choose + ((n - j) * math.log(rest) if n > j else 0.0) + (j - 1) * math.log(d + j / n))
+    return 1 - d * total
+
+
+def sphere_points(spark: SparkSession, n: int) -> DataFrame:
+    """(k, x, y, z): n points spread evenly over the unit sphere along a golden spiral."""
+    turn = F.col("k") * (math.pi * (3 - math.sqrt(5)))
+    y = (F.col("k") * 2 + 1) / n - 1
+    r = F.sqrt(1 - y * y)
+    return spark.range(n).toDF("k").select("k", (F.cos(turn) * r).alias("x"), y.alias("y"), (F.sin(turn) * r).alias("z"))

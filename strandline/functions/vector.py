@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +192,11 @@ def binary_chord(a, b) -> Column:
     return chord(presence(a), presence(b))
 
 
+def binary_chisq(a, b, colsum: Column, grand: Column) -> Column:
+    """chisq of presence and absence; `colsum` and `grand` are sums of presences."""
+    return chisq(presence(a), presence(b), colsum, grand)
+
+
 def binary_pearson(a, b) -> Column:
     return pearson(presence(a), presence(b))
 
@@ -199,6 +206,38 @@ def otu_gain(a, b) -> Column:
     return fold(a, b, lambda x, y: F.when((x != 0) & (y == 0), 1.0).otherwise(0.0))
 
 
+# proportions of a known number
+def proportions_to_ratios(v: Column | str, n: int) -> Column:
+    """n - 1 ratios of n positive values: of each half's sum to that of the half before it, halves being halved again."""
+
+    def ratios(low: int, high: int) -> list[Column]:
+        if high - low < 2:
+            return []
+        mid = low + (high - low) // 2
+        side = lambda a, b: reduce(lambda x, y: x + y, [F.get(col(v), F.lit(i)) for i in range(a, b)])
+        return [side(mid, high) / side(low, mid), *ratios(low, mid), *ratios(mid, high)]
+
+    return F.array(*ratios(0, n))
+
+
+def ratios_to_proportions(ratios: Column | str, n: int, whole: Column | float = 1.0) -> Column:
+    """The n values that add up to `whole` and have these n - 1 ratios."""
+
+    def values(low: int, high: int, first: int, share: Column) -> list[Column]:
+        if high - low < 2:
+            return [share]
+        mid = low + (high - low) // 2
+        part = 1 / (F.get(col(ratios), F.lit(first)) + 1)
+        return [*values(low, mid, first + 1, share * part), *values(mid, high, first + mid - low, share * (1 - part))]
+
+    return F.array(*values(0, n, 0, F.lit(whole) if isinstance(whole, float) else whole))
+
+
+def is_frequency(v: Column | str, tolerance: float = 1e-8) -> Column:
+    """Whether no entry is negative and all add up to 1."""
+    return F.forall(col(v), lambda x: x >= 0) & (F.abs(total(v) - 1) <= tolerance + 1e-5)
+
+
 # information
 def entropy(v: Column | str) -> Column:
     """Of proportions, in bits; zeros count 0."""

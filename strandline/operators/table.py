@@ -371,3 +371,55 @@ def format_table(df: DataFrame, style: str = "simple", limit: int = 1000, digits
         return "<table>" + (f"<caption>{html.escape(title)}</caption>" if title else "") + cells(heads, "th") + "".join(cells(r, "td") for r in rows) + "</table>"
     rule = "-" * (sum(wide) + 4 * (len(wide) - 1))
     return "\n".join(top + [line(heads, "    "), rule] + [line(r, "    ") for r in rows] + [rule])
+
+
+def format_column(df: DataFrame, column: str, template: str | Callable[[Column], Column]) -> DataFrame:
+    """The column as text, by a printf template or a function of the column; a column for writing or display."""
+    made = template(quoted(column)) if callable(template) else F.format_string(template, quoted(column))
+    return df.withColumn(column, made)
+
+
+def to_csv(df: DataFrame, **options) -> str:
+    return format_table(df, "csv", **options)
+
+
+def to_tsv(df: DataFrame, **options) -> str:
+    return format_table(df, "tsv", **options)
+
+
+def to_markdown(df: DataFrame, **options) -> str:
+    return format_table(df, "md", **options)
+
+
+def to_rst(df: DataFrame, csv_table: bool = False, title: str = "", **options) -> str:
+    """A grid, or with `csv_table` a directive with comma separated values."""
+    if not csv_table:
+        return format_table(df, "rst", title=title, **options)
+    head, *rows = format_table(df, "csv", **options).split("\n")
+    return "\n".join([f".. csv-table:: {title}".rstrip(), f"    :header: {head}", "", *(f"    {r}" for r in rows)])
+
+
+def to_latex(df: DataFrame, **options) -> str:
+    return format_table(df, "latex", **options)
+
+
+def to_html(df: DataFrame, **options) -> str:
+    return format_table(df, "html", **options)
+
+
+def write_table(df: DataFrame, path: str, style: str = "tsv", compression: str = "none", header: bool = True) -> None:
+    """A table of any size as delimited (csv, tsv), JSON-lines or Parquet files, by Spark's own writers: a folder of parts."""
+    out = df.write.mode("overwrite").option("compression", "uncompressed" if style == "parquet" and compression == "none" else compression)
+    if style in ("csv", "tsv"):
+        out.option("header", header).option("sep", "," if style == "csv" else "\t").csv(path)
+    elif style == "json":
+        out.json(path)
+    elif style == "parquet":
+        out.parquet(path)
+    else:
+        raise ValueError(f"no writer for {style}")
+
+
+def write_matrix(long: DataFrame, path: str, sep: str = "\t", row: str = "row", col_name: str = "col", value: str = "value") -> None:
+    """A long matrix as (row, col, value) lines, by Spark's writer."""
+    long.select(row, col_name, value).write.mode("overwrite").option("sep", sep).option("header", True).csv(path)

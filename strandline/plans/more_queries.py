@@ -199,12 +199,14 @@ def vecdist_pearson(spark: SparkSession, d: str) -> DataFrame:
 
 @register("vecdist_spearman_approx")
 def vecdist_spearman_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of all pairs; vecs_spearman_approx has SQL, for neighbours."""
     return vecdist.pairwise(vectors(spark, d), "spearman_approx")
 
 
-@register("vecdist_abund_jaccard")
+@register("vecdist_abund_jaccard", f"""WITH {PAIR_SQL}, s AS (SELECT name1, name2, list_sum(list_transform(list_zip(a, b), lambda z: CASE WHEN z[2] > 0 THEN z[1] ELSE 0 END)) / list_sum(a) AS u, list_sum(list_transform(list_zip(a, b), lambda z: CASE WHEN z[1] > 0 THEN z[2] ELSE 0 END)) / list_sum(b) AS v FROM pairs)
+SELECT name1, name2, round(CASE WHEN u = 0 AND v = 0 THEN 1 ELSE 1 - u * v / (u + v - u * v) END, 5) + 0.0 AS dist FROM s""")
 def vecdist_abund_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return vecdist.pairwise(vectors(spark, d), "abund_jaccard")
+    return vecdist.pairwise(vectors(spark, d), "abund_jaccard").withColumn("dist", F.round("dist", 5) + 0.0)
 
 
 # statistics
@@ -222,12 +224,15 @@ def stat_information_criteria(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderstatus", F.round(T.aic(F.col("lnl"), F.lit(3)), 4).alias("aic"), F.round(T.bic(F.col("lnl"), F.lit(3), F.col("n")), 4).alias("bic"))
 
 
-@register("stat_jackknife_median")
+@register("stat_jackknife_median", """WITH x AS (SELECT c_nationkey AS k, c_acctbal AS x, c_custkey AS i FROM customer), w AS (SELECT k, median(x) AS stat, count(*) AS n FROM x GROUP BY k),
+l AS (SELECT a.k, a.i, median(b.x) AS m FROM x a JOIN x b ON a.k = b.k AND a.i <> b.i GROUP BY a.k, a.i), p AS (SELECT k, n * stat - (n - 1) * m AS pseudo, stat, n FROM l JOIN w USING (k))
+SELECT k AS c_nationkey, round(min(stat), 4) AS stat, round(avg(pseudo), 4) AS jackknife, round(sqrt(var_samp(pseudo) / min(n)), 4) AS se FROM p GROUP BY k""")
 def stat_jackknife_median(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
     rows = table(spark, d, "customer").select("c_nationkey", "c_acctbal")
-    return T.jackknife(rows, "c_acctbal", lambda x: float(np.median(x)), ["c_nationkey"])
+    out = T.jackknife(rows, "c_acctbal", lambda x: float(np.median(x)), ["c_nationkey"])
+    return out.select("c_nationkey", *[F.round(c, 4).alias(c) for c in ("stat", "jackknife", "se")])
 
 
 @register("period_block_bootstrap")

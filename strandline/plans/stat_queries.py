@@ -38,9 +38,11 @@ def stat_chisq(spark: SparkSession, d: str) -> DataFrame:
     return T.chisq_test(crossed(spark, d), pvalue=False).withColumn("chisq", F.round("chisq", 5))
 
 
-@register("stat_chisq_pvalue")
+@register("stat_chisq_pvalue", f"""WITH {_N}, c AS (SELECT sum((n - e) ** 2 / e) AS x, ((count(DISTINCT row) - 1) * (count(DISTINCT col) - 1))::BIGINT AS df FROM e)
+SELECT round(x, 5) AS chisq, df, round(CASE df WHEN 1 THEN NULL ELSE exp(-x / 2) * list_sum(list_transform(range(df // 2), lambda k: (x / 2) ** k / gamma(k + 1))) END, 8) AS pvalue FROM c""")
 def stat_chisq_pvalue(spark: SparkSession, d: str) -> DataFrame:
-    return T.chisq_test(crossed(spark, d))
+    """The tail has a closed form where the degrees of freedom are even, as here."""
+    return T.chisq_test(crossed(spark, d)).select(F.round("chisq", 5).alias("chisq"), "df", F.round("pvalue", 8).alias("pvalue"))
 
 
 @register("stat_g_independence", f"""WITH {_N}, q AS (SELECT (SELECT sum(1 / r) FROM (SELECT sum(n) AS r FROM n GROUP BY row)) AS ir, (SELECT sum(1 / c) FROM (SELECT sum(n) AS c FROM n GROUP BY col)) AS ic, (SELECT sum(n) FROM n) AS t),
@@ -92,7 +94,7 @@ _SIG = "s AS (SELECT vec_id AS name, list_transform(embedding, lambda x: x::DOUB
 @register("period_auto_corr", f"WITH {_SIG} SELECT name, list_transform(range(2, 9), lambda k: round(list_sum(list_transform(range(1, 65 - k), lambda i: v[i] * v[i + k])) / 64, 6) + 0.0) AS a FROM s")
 def period_auto_corr(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("v"))
-    return rows.select("name", F.transform(T.auto_corr(F.col("v"), 2, 8), lambda x: F.round(x, 6) + 0.0).alias("a")  # no minus before a zero)
+    return rows.select("name", F.transform(T.auto_corr(F.col("v"), 2, 8), lambda x: F.round(x, 6) + 0.0).alias("a"))  # no minus before a zero
 
 
 @register("period_ipdft", f"WITH {_SIG} SELECT name, list_transform(range(2, 9), lambda p: round(sqrt(list_sum(list_transform(range(64), lambda i: v[i + 1] * cos(i * 2 * pi() / p))) ** 2 + list_sum(list_transform(range(64), lambda i: v[i + 1] * sin(i * 2 * pi() / p))) ** 2), 5)) AS a FROM s")
@@ -169,7 +171,8 @@ def align_pairs_local(spark: SparkSession, d: str) -> DataFrame:
 
 
 # apps and formats
-@register("app_not_completed")
+@register("app_not_completed", """WITH b AS (SELECT doc_id::VARCHAR AS id, CASE WHEN text IS NULL OR length(text) < 600 THEN 'FALSE' WHEN contains(text, '|') THEN 'BUG' END AS type FROM documents)
+SELECT type, CASE type WHEN 'BUG' THEN 'count_words' ELSE 'min_length' END AS origin, CASE type WHEN 'BUG' THEN 'unexpected output value None' ELSE 'too short' END AS message, count(*) AS num, min(id) AS example FROM b WHERE type IS NOT NULL GROUP BY type""")
 def app_not_completed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     checked = apps.gate("min_length", F.length("text") >= 600, "too short") + apps.row_app("count_words", lambda t: str(len(t.split())) if "|" not in t else None, "text")

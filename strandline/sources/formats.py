@@ -413,6 +413,39 @@ def to_cigar(seq: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.when(F.length(r) > 1, F.length(r).cast("string")).otherwise(F.lit("")), F.when(r.startswith("-"), "D").otherwise("M"))), "")
 
 
+def slice_cigar(seq: Column, cigar: Column, start: Column, stop: Column, by_align: bool = True) -> Column:
+    """The gapped row of an ungapped sequence and its CIGAR text, from `start` to `stop` of the alignment, or of the
+    sequence itself: then up to the last of these letters, gaps before the first one left out."""
+    from ..functions.sequence import align_index, compose_gapped
+
+    row = compose_gapped(seq, cigar_gaps(cigar))
+    if by_align:
+        return F.substring(row, start + 1, stop - start)
+    return let(row, lambda r: F.substring(r, align_index(r, start) + 1, align_index(r, stop - 1) + 1 - align_index(r, start)))
+
+
+def cigar_alignment(seqs: DataFrame, cigars: DataFrame) -> DataFrame:
+    """Aligned rows from ungapped sequences (name, ord, seq) and their CIGAR texts (name, cigar)."""
+    from ..functions.sequence import compose_gapped
+
+    rows = seqs.join(cigars.select("name", "cigar"), "name")
+    return rows.select("name", "ord", compose_gapped("seq", cigar_gaps(F.col("cigar"))).alias("seq"))
+
+
+def parse_greengenes(text: str) -> list[tuple]:
+    """(id, record as JSON) of records between BEGIN and END, lines `key=value`."""
+    return [(r.get("prokMSA_id", ""), json.dumps(r)) for r in key_value_records(text, "BEGIN", "END")]
+
+
+def get_writer(format_name: str | None, path: str = "") -> Callable[[DataFrame], str]:
+    """The text writer of a format, by name or by a path's suffix."""
+    key = format_name or re.sub(r"\.(gz|bz2|xz)$", "", path).rsplit(".", 1)[-1]
+    key = {"fa": "fasta", "mfa": "fasta", "phy": "phylip", "aln": "clustal", "nex": "nexus", "nxs": "nexus"}.get(key, key)
+    if key not in WRITERS:
+        raise ValueError(f"no writer for {key}")
+    return WRITERS[key]
+
+
 # delimited
 def load_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, title: bool = False, legend: bool = False, limit: int | None = None) -> DataFrame:
     """A delimited file, columns as strings; a title line before it and a legend line after it are left out."""
