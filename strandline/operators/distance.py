@@ -26,8 +26,14 @@ JACCARD_TO_P = (
 )
 
 
-def all_pairs(df: DataFrame, name: str = "name", blocks: int = 8, ordered: bool = False) -> DataFrame:
-    """Every pair of rows once (or, ordered, both ways), columns suffixed 1 and 2, name1 < name2; by pairs of blocks."""
+#: Rows of a block, about.
+BLOCK_ROWS = 2048
+
+
+def all_pairs(df: DataFrame, name: str = "name", blocks: int | None = None, ordered: bool = False) -> DataFrame:
+    """Every pair of rows once (or, ordered, both ways), columns suffixed 1 and 2, name1 < name2; by pairs of blocks, whose
+    number, if it isn't given, follows the rows."""
+    blocks = blocks or min(max(8, -(-df.count() // BLOCK_ROWS)), 8192)
     rows = df.withColumn("__b", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.toDF(*[c + "1" for c in rows.columns]).withColumn("__other", F.explode(every))
@@ -51,7 +57,7 @@ def _both(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, n: acc + n)
 
 
-def pair_counts(aln: DataFrame, mt: MolType = DNA, blocks: int = 8) -> DataFrame:
+def pair_counts(aln: DataFrame, mt: MolType = DNA, blocks: int | None = None) -> DataFrame:
     """(name1, name2, n_ij): in how many columns the first row has letter i and the second letter j."""
     k = len(mt.letters)
     pairs = all_pairs(state_masks(aln, mt), blocks=blocks)
@@ -59,7 +65,7 @@ def pair_counts(aln: DataFrame, mt: MolType = DNA, blocks: int = 8) -> DataFrame
     return pairs.select("name1", "name2", *cells)
 
 
-def match_counts(aln: DataFrame, mt: MolType = DNA, blocks: int = 8) -> DataFrame:
+def match_counts(aln: DataFrame, mt: MolType = DNA, blocks: int | None = None) -> DataFrame:
     """(name1, name2, valid, diffs): columns with letters in both, and those that differ, from one mask of all letters
     and one per letter."""
     k = len(mt.letters)
@@ -99,7 +105,7 @@ def _sum(cols: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def tn93(aln: DataFrame, blocks: int = 8) -> DataFrame:
+def tn93(aln: DataFrame, blocks: int | None = None) -> DataFrame:
     """Tamura-Nei 1993 with the base frequencies of the whole alignment; NaN where a logarithm has no value."""
     letters = DNA.letters
     pyr, pur = ["TCAG".index(c) for c in "TC"], ["TCAG".index(c) for c in "AG"]
@@ -132,7 +138,7 @@ def _determinant(cell, n: int = 4) -> Column:
     return _sum(terms)
 
 
-def paralinear(aln: DataFrame, blocks: int = 8) -> DataFrame:
+def paralinear(aln: DataFrame, blocks: int | None = None) -> DataFrame:
     """-ln(det F / sqrt(Π rows · Π columns)) / n of the joint frequencies, empty diagonal cells as a half count; NaN where undefined."""
     c = pair_counts(aln, DNA, blocks)
     fixed = c.select("name1", "name2", *[(F.when(_n(i, j) == 0, 0.5).otherwise(_n(i, j)) if i == j else _n(i, j)).alias(f"n_{i}{j}") for i, j in product(range(4), repeat=2)])
@@ -146,7 +152,7 @@ def paralinear(aln: DataFrame, blocks: int = 8) -> DataFrame:
     return with_det.select("name1", "name2", F.when((F.col("det") > 0) & (F.col("under") > 0), -F.ln(F.col("det") / F.col("under")) / 4).otherwise(float("nan")).alias("dist"))
 
 
-def logdet(aln: DataFrame, blocks: int = 8) -> DataFrame:
+def logdet(aln: DataFrame, blocks: int | None = None) -> DataFrame:
     """LogDet of the joint frequencies, without the Tamura-Kumar adjustment."""
     c = pair_counts(aln, DNA, blocks).withColumn("total", _sum([_n(i, j) for i, j in product(range(4), repeat=2)]))
     det = _determinant(lambda i, j: _n(i, j) / F.col("total"))
@@ -177,7 +183,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
 
 
-def jaccard_dist(seqs: DataFrame, k: int = 10, mt: MolType = DNA, blocks: int = 8) -> DataFrame:
+def jaccard_dist(seqs: DataFrame, k: int = 10, mt: MolType = DNA, blocks: int | None = None) -> DataFrame:
     pairs = all_pairs(kmer_sets(seqs, k, mt), blocks=blocks)
     return pairs.select("name1", "name2", jaccard(F.col("set1"), F.col("set2")).alias("dist"))
 
@@ -202,7 +208,7 @@ def approx_jc69(dists: DataFrame, states: int = 4) -> DataFrame:
     return dists.withColumn("dist", -f * F.ln(1 - F.col("dist") / f))
 
 
-def gap_dist(aln: DataFrame, insert: float = 12.0, extend: float = 1.0, blocks: int = 8) -> DataFrame:
+def gap_dist(aln: DataFrame, insert: float = 12.0, extend: float = 1.0, blocks: int | None = None) -> DataFrame:
     """Gap runs that only one of two rows has: a cost for each and one for their length."""
     rows = aln.select("name", gap_align_spans("seq").alias("gaps"))
     pairs = all_pairs(rows, blocks=blocks)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import PER_PART, max_before, with_range
+
 from ..session import ship
 
 
@@ -61,20 +63,31 @@ def minus(a: DataFrame, b: DataFrame, by: Sequence[str] = (), width: int | None
     return cut.filter("stop > start").select(*by, "start", "stop")
 
 
-def merge(df: DataFrame, by: Sequence[str] = (), start: str = "start", stop: str = "stop") -> DataFrame:
-    """Overlapping and touching spans as one: a new one opens only beyond the furthest stop so far."""
-    order = W.partitionBy(*by).orderBy(start, stop)
-    before = F.max(stop).over(order.rowsBetween(W.unboundedPreceding, -1))
-    opened = df.withColumn("__new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    island = opened.withColumn("__island", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("__island")
-
+def merge(df: DataFrame, by: Sequence[str] = (), start: str = "start", stop: str = "stop", per_part: int = PER_PART) -> DataFrame:
+    """Overlapping and touching spans as one: a new one opens only beyond the furthest stop so far.
 
-def gaps(df: DataFrame, by: Sequence[str] = (), length: Column | None = None) -> DataFrame:
+    A group's spans are merged within ranges of `start`, and the first and last of each range stitched, so no task holds a
+    large group.
+    """
+    rows = max_before(with_range(df, start, per_part), by, stop, "__earlier")
+    order = W.partitionBy(*by, "__range").orderBy(start, stop)
+    before = F.greatest(F.max(stop).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("__earlier"))
+    opened = rows.withColumn("__new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
+    island = opened.withColumn("__island", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))  # 0: goes on from an earlier range
+    parts = island.groupBy(*by, "__range", "__island").agg(F.min(start).alias(start), F.max(stop).alias(stop))
+    last = F.max("__island").over(W.partitionBy(*by, "__range"))
+    parts = parts.withColumn("__ends", (F.col("__island") == last) | (F.col("__island") == 0))
+    chain = parts.filter("__ends").withColumn("__chain", F.sum((F.col("__island") > 0).cast("int")).over(W.partitionBy(*by).orderBy("__range", "__island")))  # two rows a range
+    joined = chain.groupBy(*by, "__chain").agg(F.min(start).alias(start), F.max(stop).alias(stop))
+    names = [*by, start, stop]
+    return joined.select(names).unionByName(parts.filter("NOT __ends").select(names))
+
+
+def gaps(df: DataFrame, by: Sequence[str] = (), length: Column | None = None, per_part: int = PER_PART) -> DataFrame:
     """What the spans leave free, from 0 to `length` (a constant within each group) or to the last stop."""
-    merged = merge(df, by)
-    order = W.partitionBy(*by).orderBy("start")
-    inner = merged.select(*by, F.coalesce(F.lag("stop").over(order), F.lit(0)).alias("start"), F.col("start").alias("stop"))
+    merged = max_before(with_range(merge(df, by, per_part=per_part), "start", per_part), by, "stop", "__earlier")
+    order = W.partitionBy(*by, "__range").orderBy("start")
+    inner = merged.select(*by, F.coalesce(F.lag("stop").over(order), F.col("__earlier"), F.lit(0)).alias("start"), F.col("start").alias("stop"))
     if length is not None:
         ends = df.groupBy(*by).agg(F.max("stop").alias("start"), F.max(length).alias("stop"))
         inner = inner.unionByName(ends)

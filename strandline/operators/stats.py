@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_pvalue
 from ..session import ship
+from .ranges import PER_PART, totals_before
 
 
 # contingency tables: (row, col, n), further keys in `by`
@@ -75,10 +76,19 @@ def g_2_by_2(a: Column, b: Column, c: Column, d: Column, williams: bool = True)
     return g / q if williams else g
 
 
+#: Cells of a contingency table that the driver takes.
+MOST_CELLS = 1_000_000
+
+
 def permutation_pvalue(counts: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
-    """(observed, pvalue): the share of margin-preserving shuffles whose χ² is at least that observed; replicates are tasks."""
+    """(observed, pvalue): the share of random tables with these margins whose χ² is at least that observed; replicates are
+    tasks. Tables are drawn cell by cell, row after row, so the work doesn't grow with the counts; more than MOST_CELLS
+    cells are an error."""
     ship(counts.sparkSession)
-    table = counts.groupBy("row").pivot("col").agg(F.sum("n")).na.fill(0).drop("row").toPandas().to_numpy(dtype=int)
+    cells = counts.groupBy("row", "col").agg(F.sum("n").alias("n")).limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    table = cells.pivot_table(index="row", columns="col", values="n", aggfunc="sum", fill_value=0).to_numpy(dtype=np.int64)
 
     def chisq(m: np.ndarray) -> float:
         e = np.outer(m.sum(1), m.sum(0)) / m.sum()
@@ -87,13 +97,15 @@ def permutation_pvalue(counts: DataFrame, reps: int = 100, seed: int = 1) -> Dat
     seen = chisq(table)
 
     def run(frames):
-        rows, cols = np.repeat(np.arange(table.shape[0]), table.sum(1)), np.repeat(np.arange(table.shape[1]), table.sum(0))
         for f in frames:
             hits = []
             for r in f["id"]:
-                m = np.zeros_like(table)
-                np.add.at(m, (rows, np.random.default_rng([seed, int(r)]).permutation(cols)), 1)
-                hits.append(chisq(m) >= seen - 1e-12)
+                random, left = np.random.default_rng([seed, int(r)]), table.sum(0)
+                rows = []
+                for n in table.sum(1):
+                    rows.append(random.multivariate_hypergeometric(left, n, method="marginals"))
+                    left = left - rows[-1]
+                hits.append(chisq(np.array(rows)) >= seen - 1e-12)
             yield pd.DataFrame({"hit": hits})
 
     out = counts.sparkSession.range(reps).mapInPandas(run, "hit boolean")
@@ -138,14 +150,36 @@ def jackknife(df: DataFrame, value: str, stat: Callable[[np.ndarray], float], by
 
 
 # coevolution: columns of an alignment in long form (name, pos, ch)
-def coevolution(long: DataFrame, letters: str = "TCAG", stat: str = "mi") -> DataFrame:
-    """(pos1, pos2, mi | nmi) of every pair of columns, over rows with letters in both; joint counts meet by name.
+def coevolution(long: DataFrame, letters: str = "TCAG", stat: str = "mi", rows: int = 2048, columns: int = 128) -> DataFrame:
+    """(pos1, pos2, mi | nmi) of every pair of columns, over rows with letters in both.
 
-    mi is H1 + H2 - H12 in bits; nmi divides it by H12. Rows of one name are as many as there are columns.
+    mi is H1 + H2 - H12 in bits; nmi divides it by H12. Joint counts come from products of 0/1 matrices, of some `rows`
+    names and two blocks of `columns` each, so a task is bounded however long or wide the alignment is.
     """
-    ok = long.filter(F.col("ch").isin(*letters)).select("name", "pos", "ch")
-    a, b = ok.toDF("name", "pos1", "c1"), ok.toDF("name", "pos2", "c2")
-    joint = a.join(b, "name").filter("pos1 < pos2").groupBy("pos1", "pos2", "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
+    ship(long.sparkSession)
+    ok = long.filter(F.col("ch").isin(*letters)).select("name", F.col("pos").cast("int").alias("pos"), (F.instr(F.lit(letters), F.col("ch")) - 1).alias("c"))
+    sizes = ok.agg(F.approx_count_distinct("name").alias("n"), F.max("pos").alias("width")).first()
+    parts, last, k = max(1, (sizes.n or 0) // rows + 1), (sizes.width or 0) // columns, len(letters)
+    placed = ok.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int")).withColumn("mine", F.floor(F.col("pos") / columns).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda o: F.struct(F.least("mine", o).alias("low"), F.greatest("mine", o).alias("high"))))
+    dealt = placed.select("part", "name", "pos", "c", pair.alias("p")).select("part", "name", "pos", "c", "p.low", "p.high")
+
+    def count(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        _, low, high = key
+        _, names = np.unique(g["name"].to_numpy(), return_inverse=True)
+        flat = np.zeros((names.max() + 1, (high - low + 1 if high == low else 2) * columns * k), dtype=np.float32)
+        at = g["pos"].to_numpy() - low * columns
+        at = np.where(g["pos"].to_numpy() >= high * columns, g["pos"].to_numpy() - high * columns + (columns if high > low else 0), at)
+        flat[names, at * k + g["c"].to_numpy()] = 1
+        left, right = flat[:, : columns * k], flat[:, -columns * k :]
+        joint = (left.T @ right).astype(np.int64)
+        i, j = np.nonzero(joint)
+        p1, p2 = low * columns + i // k, high * columns + j // k
+        ok = p1 < p2
+        return pd.DataFrame({"pos1": p1[ok], "pos2": p2[ok], "c1": (i % k)[ok], "c2": (j % k)[ok], "n": joint[i, j][ok]})
+
+    found = dealt.groupBy("part", "low", "high").applyInPandas(count, "pos1 int, pos2 int, c1 int, c2 int, n long")
+    joint = found.groupBy("pos1", "pos2", "c1", "c2").agg(F.sum("n").alias("n"))
     w1, w2 = W.partitionBy("pos1", "pos2", "c1"), W.partitionBy("pos1", "pos2", "c2")
     cells = joint.withColumns({"n1": F.sum("n").over(w1), "n2": F.sum("n").over(w2)})
     total = F.sum("n")
@@ -228,20 +262,18 @@ def block_bootstrap(df: DataFrame, key: str, signal: str, stat: Callable[[np.nda
 
 
 # two samples
-def ks_statistic(df: DataFrame, value: str, sample: str) -> DataFrame:
+def ks_statistic(df: DataFrame, value: str, sample: str, per_part: int = PER_PART) -> DataFrame:
     """(d, n, m): the largest distance of two samples' distribution functions (`sample`: a boolean), by distinct value."""
     t = df.groupBy(value).agg(F.count_if(F.col(sample)).alias("a"), F.count_if(~F.col(sample)).alias("b"))
     totals = F.broadcast(t.agg(F.sum("a").alias("n"), F.sum("b").alias("m")))
-    w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    run = t.crossJoin(totals).withColumn("d", F.abs(F.sum("a").over(w) / F.col("n") - F.sum("b").over(w) / F.col("m")))
+    run = totals_before(t, value, {"__a": "a", "__b": "b"}, per_part).crossJoin(totals).withColumn("d", F.abs((F.col("__a") + F.col("a")) / F.col("n") - (F.col("__b") + F.col("b")) / F.col("m")))
     return run.agg(F.max("d").alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
 
 
-def mann_whitney(df: DataFrame, value: str, sample: str) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, sample: str, per_part: int = PER_PART) -> DataFrame:
     """(u, n, m, z): U of the first sample with half counts for ties, by distinct value, and its normal score."""
     t = df.groupBy(value).agg(F.count_if(F.col(sample)).alias("a"), F.count_if(~F.col(sample)).alias("b"))
-    w = W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    run = t.withColumn("below", F.coalesce(F.sum("b").over(w), F.lit(0)))
+    run = totals_before(t, value, {"below": "b"}, per_part)
     out = run.agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n"), F.sum("b").alias("m"))
     n, m = F.col("n"), F.col("m")
     return out.withColumn("z", (F.col("u") - n * m / 2) / F.sqrt(n * m * (n + m + 1) / 12))
