@@ -262,3 +262,18 @@ def kmer_from_index(index: Column | str, k: int, letters: str) -> Column:
     n = len(letters)
     places = [F.pmod(F.floor(col(index) / n**p), F.lit(n)) for p in range(k - 1, -1, -1)]
     return F.concat(*[F.substring(F.lit(letters), p.cast("int") + 1, F.lit(1)) for p in places])
+
+
+def letters_with_gap(letters: str, gap: str = GAP) -> str:
+    return letters if gap in letters else letters + gap
+
+
+def letters_subset(letters: str, motifs: str, excluded: bool = False) -> str:
+    """Those of the alphabet that are among `motifs`, or aren't, in its order."""
+    return "".join(c for c in letters if (c in motifs) != excluded)
+
+
+def convert_indices(codes: Column | str, letters: str, to: str) -> Column:
+    """Places in one alphabet as places in another; letters that it lacks as its size."""
+    place = literal_map({i: to.index(c) if c in to else len(to) for i, c in enumerate(letters)})
+    return F.transform(col(codes), lambda i: F.coalesce(place[i], F.lit(len(to))))

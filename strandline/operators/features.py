@@ -236,3 +236,20 @@ def write(store: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
+
+
+def update_record_spans(store: DataFrame, changes: DataFrame) -> DataFrame:
+    """The store with new spans for records named in `changes` (name, spans); start and stop follow them."""
+    new = changes.select(F.col("name").alias("__n"), F.array_sort(F.col("spans").cast(SCHEMA["spans"].dataType)).alias("__s"))
+    rows = store.join(new, F.col("name") == F.col("__n"), "left")
+    cover = spans_covering(F.col("__s"))
+    return rows.withColumns({"spans": F.coalesce("__s", "spans"), "start": F.coalesce(cover["start"], "start"), "stop": F.coalesce(cover["stop"], "stop")}).drop("__n", "__s")
+
+
+def to_json(store: DataFrame) -> DataFrame:
+    """One JSON text a record (value), for from_json of the same schema."""
+    return store.select(F.to_json(F.struct(*[f.name for f in SCHEMA])).alias("value"))
+
+
+def from_json(rows: DataFrame) -> DataFrame:
+    return rows.select(F.from_json("value", SCHEMA).alias("r")).select("r.*")

@@ -76,6 +76,24 @@ def fit_models(seqs: DataFrame, models: Sequence[str], trees: DataFrame | None =
     return rows.groupBy("family", "model").applyInPandas(run, f"family {kind}, model string, lnl double, nfp int, n int, aic double, bic double, newick string")
 
 
+def tabulate_stats(fits: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(family, model, table, edge, name, value): the statistics of fitted models on their alignments, lengths as fitted."""
+    ship(fits.sparkSession)
+    rows = seqs.join(fits.select("family", "model", "newick"), "family")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        from ..functions.likelihood import LikelihoodFunction, get_model
+        from ..functions.tree import name_inner, parse_newick
+
+        model = get_model(g["model"].iloc[0])
+        lf = LikelihoodFunction(model, name_inner(parse_newick(g["newick"].iloc[0])), dict(zip(g["name"], g["seq"])))
+        rows = [(g["family"].iloc[0], model.name, *r) for r in lf.statistics()]
+        return pd.DataFrame(rows, columns=["family", "model", "table", "edge", "name", "value"])
+
+    kind = dict(seqs.dtypes)["family"]
+    return rows.groupBy("family", "model").applyInPandas(run, f"family {kind}, model string, table string, edge string, name string, value double")
+
+
 def hypothesis(fits: DataFrame, null: str, alt: str) -> DataFrame:
     """(family, LR, df, pvalue) of two fitted models; p is 1 at LR 0 and null below."""
     ship(fits.sparkSession)

@@ -147,6 +147,23 @@ def apply_to(app: App, members: DataFrame, done: DataFrame | None = None, id_col
     return app(todo)
 
 
+def write_tabular(df: DataFrame, path: str, style: str = "tsv") -> None:
+    """Completed rows as delimited files, by Spark."""
+    from ..operators.table import write_table
+
+    rows = df.filter("error IS NULL").drop("error") if "error" in df.columns else df
+    write_table(rows, path, style)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows, failures too, as lines of JSON."""
+    df.write.mode("overwrite").json(path)
+
+
+def load_json(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 # built-in steps over collections as rows (id, name, ord, seq)
 def _register() -> None:
     from ..functions.genetic_code import get_code

@@ -33,4 +33,4 @@ def table_group_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("min_qty"), F.max("l_extendedprice").alias("max_price"))
 
 
-from . import alignment_queries, interval_queries, more_queries, sequence_queries, stat_queries, table_queries, wide_queries, form_queries  # noqa: E402, F401
+from . import alignment_queries, interval_queries, more_queries, sequence_queries, stat_queries, table_queries, wide_queries, form_queries, model_queries  # noqa: E402, F401

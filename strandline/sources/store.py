@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +70,67 @@ def summary_logs(lines: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+
+
+# stores that are written in several runs
+def write_attempt(df: DataFrame, path: str) -> None:
+    """Appends results, each with the number of its id's attempt: one more than before."""
+    spark = df.sparkSession
+    try:
+        before = spark.read.parquet(path).groupBy("id").agg(F.max("attempt").alias("__a"))
+    except AnalysisException:  # nothing is there yet
+        before = None
+    data = [c for c in df.columns if c not in ("id", "error")]
+    rows = df.select("id", F.when(F.col("error").isNull(), "completed").otherwise("not_completed").alias("status"), F.to_json(F.struct(*data)).alias("payload"), "error")
+    rows = rows.withColumn("md5", F.md5("payload"))
+    if before is None:
+        rows = rows.withColumn("attempt", F.lit(1))
+    else:
+        rows = rows.join(before, "id", "left").withColumn("attempt", F.coalesce(F.col("__a"), F.lit(0)) + 1).drop("__a")
+    rows.write.mode("append").parquet(path)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The last attempt of each id: a later result takes the place of one that wasn't completed."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "attempt").alias("r"))
+    return last.select("id", "r.*")
+
+
+def to_do(members: DataFrame, path: str) -> DataFrame:
+    """Members whose last attempt wasn't completed, or that have none."""
+    try:
+        done = current(members.sparkSession, path).filter("status = 'completed'").select("id")
+    except AnalysisException:
+        return members
+    return members.join(done, "id", "left_anti")
+
+
+def lock(spark: SparkSession, path: str, owner: str) -> bool:
+    """Takes the store for one writer: false if another has it. A file that only one can create, wherever the store lies."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    system = file.getFileSystem(conf)
+    if system.exists(file):
+        return holder(spark, path) == owner
+    try:
+        out = system.create(file, False)
+    except Exception:  # another was first
+        return False
+    out.write(bytearray(owner.encode()))
+    out.close()
+    return True
+
+
+def holder(spark: SparkSession, path: str) -> str | None:
+    """Who holds the lock; None if nobody."""
+    rows = spark.read.format("binaryFile").load(f"{path}.lock*").select("content").collect()
+    return bytes(rows[0][0]).decode() if rows else None
+
+
+def unlock(spark: SparkSession, path: str, owner: str) -> bool:
+    if holder(spark, path) != owner:
+        return False
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    return file.getFileSystem(conf).delete(file, False)
