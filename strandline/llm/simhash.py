@@ -37,7 +37,7 @@ FAN = 16
 #: Fingerprints in a chunk of a topmost node.
 NODE_ROWS = 4096
 #: Nodes a search looks at together, and rows indexed together.
-FRONTIER, ROWS = 1 << 20, 1 << 17
+FRONTIER, ROWS = 1 << 18, 1 << 16
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -122,7 +122,7 @@ def link_groups(group: np.ndarray, fp: np.ndarray, fp2: np.ndarray, limit: int =
     label = np.arange(len(fp))
     alone = np.diff(np.append(start, len(fp)))[of] == 1
     todo = np.flatnonzero(~alone)
-    step = 1 << 12
+    step = 1 << 11
     for at in range(0, len(todo), step):
         stack = [(len(levels) - 1, todo[at : at + step], of[todo[at : at + step]], None)]
         while stack:
