@@ -1,11 +1,14 @@
 """Distances of all pairs of rows: blocks against plain loops, and what a query sends to its tasks."""
 
 import itertools
+import math
+import re
 
 import numpy as np
 import pytest
 
 from strandline.operators import blocks, vecdist
+from strandline.operators import distance as D
 from strandline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -13,6 +16,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries whose pairs are made in tiles, one row a pair of rows leaving the task in its last form.
 TILED = [
     "vecdist_manhattan",
+    "dist_gap",
 ]
 
 
@@ -49,3 +53,39 @@ def test_every_pair_once_over_tiles_and_blocks(spark, monkeypatch, kind):
     got = sorted(map(tuple, vecdist.pairwise(df, "otu_gain", block=150).collect()))
     want = [(a, b, float(sum(x != 0 and y == 0 for x, y in zip(v, w)))) for (a, v), (b, w) in itertools.permutations(zip(names, vectors), 2) if a is not None and b is not None and a < b]
     assert got == sorted(want)
+
+
+def _plain(a: str, b: str) -> dict:
+    n = np.array([[sum(x == i and y == j for x, y in zip(a, b)) for j in "TCAG"] for i in "TCAG"], dtype=float)
+    valid, diffs = n.sum(), n.sum() - np.trace(n)
+    p = diffs / valid if valid else None
+    f = n + np.diag(np.where(np.diag(n) == 0, 0.5, 0))
+    det, under = np.linalg.det(f / f.sum()), math.sqrt(np.prod(f.sum(0) / f.sum()) * np.prod(f.sum(1) / f.sum()))
+    runs = [{(m.start(), m.end() - m.start()) for m in re.finditer("-+", s)} for s in (a, b)]
+    return {
+        "hamming": diffs, "pdist": p, "identity": None if p is None else 1 - p,
+        "jc69": math.nan if p is None or p >= 0.75 else -0.75 * math.log(1 - p / 0.75) + 0.0,
+        "paralinear": -math.log(det / under) / 4 if det > 1e-12 and under > 0 else math.nan,
+        "gap": float(sum(12 + n for _, n in runs[0] ^ runs[1])),
+    }
+
+
+def test_aligned_distances_equal_plain_loops(spark):
+    """Several chunks of columns, rows without a letter, equal rows, one block pair and several."""
+    r = np.random.default_rng(8)
+    base = r.choice(list("TCAG"), 700)
+    rows = [("".join(np.where(r.random(700) < p, r.choice(list("TCAG-N"), 700), base))) for p in (0, 0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.9)] + ["-" * 700, "NNNNNNN" * 100]
+    aln = spark.createDataFrame([(i, i, s) for i, s in enumerate(rows)], "name long, ord int, seq string")
+    want = {(i, j): _plain(rows[i], rows[j]) for i, j in itertools.combinations(range(len(rows)), 2)}
+    for b in (None, 3):
+        made = {"hamming": D.hamming(aln, blocks=b), "pdist": D.pdist(aln, blocks=b), "jc69": D.jc69(aln, blocks=b), "paralinear": D.paralinear(aln, blocks=b), "gap": D.gap_dist(aln, blocks=b), "identity": D.percent_identity(aln, blocks=b)}
+        for k, d in made.items():
+            got = {(x[0], x[1]): x[2] for x in d.collect()}
+            assert set(got) == set(want), k
+            for pair, v in got.items():
+                assert v == pytest.approx(want[pair][k], nan_ok=True, abs=1e-9), (k, pair)
+    assert D.extreme_pair(aln, "max").first().dist == max(w["hamming"] for w in want.values())
+    assert D.extreme_pair(aln, "min", blocks=3).first().dist == 0
+    assert D.extreme_pair(aln.limit(0), "max").first().dist is None
+    counts = {(x.name1, x.name2): x for x in D.pair_counts(aln, blocks=3).collect()}
+    assert all(counts[i, j].n_02 == sum(x == "T" and y == "A" for x, y in zip(rows[i], rows[j])) for i, j in want)
