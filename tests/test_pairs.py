@@ -17,6 +17,7 @@ SF = "/root/testdata/sf0.001"
 TILED = [
     "vecdist_manhattan",
     "dist_gap",
+    "dist_paralinear",
 ]
 
 
