@@ -18,6 +18,7 @@ TILED = [
     "vecdist_manhattan",
     "dist_gap",
     "dist_paralinear",
+    "dist_tn93",
 ]
 
 
