@@ -19,6 +19,7 @@ TILED = [
     "dist_gap",
     "dist_paralinear",
     "dist_tn93",
+    "dist_hamming",
 ]
 
 
