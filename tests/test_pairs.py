@@ -20,6 +20,7 @@ TILED = [
     "dist_paralinear",
     "dist_tn93",
     "dist_hamming",
+    "dist_max_pair",
 ]
 
 
