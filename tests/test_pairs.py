@@ -22,6 +22,7 @@ TILED = [
     "dist_hamming",
     "dist_max_pair",
     "dist_calculator",
+    "dist_jc69",
 ]
 
 
