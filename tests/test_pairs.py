@@ -23,6 +23,7 @@ TILED = [
     "dist_max_pair",
     "dist_calculator",
     "dist_jc69",
+    "dist_percent_identity",
 ]
 
 
