@@ -25,6 +25,7 @@ TILED = [
     "dist_jc69",
     "dist_percent_identity",
     "dist_min_pair",
+    "dist_pdist",
 ]
 
 
