@@ -26,6 +26,7 @@ TILED = [
     "dist_percent_identity",
     "dist_min_pair",
     "dist_pdist",
+    "vecdist_euclidean",
 ]
 
 
