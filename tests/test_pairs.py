@@ -27,6 +27,7 @@ TILED = [
     "dist_min_pair",
     "dist_pdist",
     "vecdist_euclidean",
+    "vecdist_bray_curtis",
 ]
 
 
