@@ -28,6 +28,7 @@ TILED = [
     "dist_pdist",
     "vecdist_euclidean",
     "vecdist_bray_curtis",
+    "vecdist_canberra",
 ]
 
 
