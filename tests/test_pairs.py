@@ -29,6 +29,7 @@ TILED = [
     "vecdist_euclidean",
     "vecdist_bray_curtis",
     "vecdist_canberra",
+    "vecdist_chord",
 ]
 
 
