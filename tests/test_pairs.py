@@ -30,6 +30,7 @@ TILED = [
     "vecdist_bray_curtis",
     "vecdist_canberra",
     "vecdist_chord",
+    "vecdist_hellinger",
 ]
 
 
