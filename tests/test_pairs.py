@@ -31,6 +31,7 @@ TILED = [
     "vecdist_canberra",
     "vecdist_chord",
     "vecdist_hellinger",
+    "vecdist_pearson",
 ]
 
 
