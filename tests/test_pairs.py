@@ -32,6 +32,7 @@ TILED = [
     "vecdist_chord",
     "vecdist_hellinger",
     "vecdist_pearson",
+    "vecdist_specprof",
 ]
 
 
