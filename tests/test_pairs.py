@@ -33,6 +33,7 @@ TILED = [
     "vecdist_hellinger",
     "vecdist_pearson",
     "vecdist_specprof",
+    "vecdist_soergel",
 ]
 
 
