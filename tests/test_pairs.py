@@ -34,6 +34,7 @@ TILED = [
     "vecdist_pearson",
     "vecdist_specprof",
     "vecdist_soergel",
+    "vecdist_spearman_approx",
 ]
 
 
