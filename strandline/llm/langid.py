@@ -3,10 +3,10 @@
 A document's words (runs of letters and their combining marks in lower case, between two boundary marks) are scored
 character by character under each language's model; the language with the lowest cross-entropy per character wins. The
 models lie in sorted arrays of n-gram hashes whose rows hold the languages' log-probabilities, and likewise context
-hashes with back-off weights. Counts come from a sample of the labelled rows, at most about `FIT_ROWS` a language, chosen
-by a hash of the id; whole texts of these rows are counted on the executors and only n-gram counts, all of them, reach
-the driver, so their number is bounded by the sample. A further part of the labelled rows, about `CALIBRATE_ROWS` a
-language, isn't counted but calibrates the limit beyond which a text is rejected.
+hashes with back-off weights. Counts come from the whole texts of all labelled rows; they are counted on the executors,
+and only n-gram counts, all of them, reach the driver, whose memory grows with the number of different n-grams and not with
+the rows. The limit beyond which a text is rejected comes from all labelled rows too: they are dealt to two folds by a hash
+of the id, and each fold is scored by models of the other one's counts.
 """
 
 from __future__ import annotations
@@ -23,18 +23,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_filter, small_batches
+from .common import small_batches
 
 #: Characters in the longest n-grams.
 ORDER = 4
-#: Labelled rows of a language that the models are fitted on, about, at most.
-FIT_ROWS = 3000
-#: Labelled rows of a language that calibrate its limit, about, at most; none of them is fitted on.
-CALIBRATE_ROWS = 1000
+#: Different words that a task counts before it hands on their n-grams.
+HELD = 500_000
 #: Words whose scores a worker keeps.
 CACHE = 200_000
 #: A text of n characters is rejected if its cross-entropy is over MARGIN · (1 + SHORT / n) times the QUANTILE of the
-#: calibration rows of its language: a few characters can't tell that a language is unknown.
+#: labelled rows of its language: a few characters can't tell that a language is unknown.
 QUANTILE, MARGIN, SHORT = 0.99, 1.5, 16
 BEGIN, END = "\x02", "\x03"
 #: Runs of letters and marks with a letter in them; digits, underscores and all else part words. In plain ASCII the first does.
@@ -185,46 +183,65 @@ def word_grams(words: Counter, order: int = ORDER) -> Counter:
     return out
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Models from the rows that `train` keeps and whose text and language aren't null; None without any.
+def fold_of(key: Column) -> Column:
+    """0 or 1 by a hash of the id, so rows that repeat an id are in one fold; a null id counts as empty text."""
+    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.lit("fold")), F.lit(2)).cast("int")
 
-    Rows that repeat an id are sampled together and count each; a language without calibration rows takes the widest
-    limit of the others (no limit if there is none). Texts of any length are counted as a whole.
+
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model | None:
+    """Models from all rows that `train` keeps and whose text and language aren't null; None without any.
+
+    Rows that repeat an id count each. The limits come from the same rows, each scored by models of the fold that it isn't in;
+    rows of a language that the other fold lacks give none. A language without a limit takes the widest of the others (no
+    limit if there is none). Texts of any length are counted as a whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.filter(train).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    kept = docs.filter(train).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = kept.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), fold_of(F.col(id_col)).alias("fold"))
 
-    def sampled(seed: str, most: int, of: float) -> Column:
-        wanted = F.lit(False)
-        for lang, n in sorted(sizes.items()):
-            wanted = wanted | ((F.col(lang_col) == lang) & fraction_filter(F.col(id_col), min(of, most / n), seed))
-        return wanted
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[tuple[str, int], Counter] = defaultdict(Counter)
 
-    held = sampled("calibrate", CALIBRATE_ROWS, 0.2)
-    columns = [F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")]
-    sample, rest = rows.filter(~held & sampled("fit", fit_rows, 1.0)).select(*columns), rows.filter(held).select(*columns)
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for (lang, fold), c in words.items():
+                grams = word_grams(c, order)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array([fold] * len(grams), pa.int32()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "fold", "gram", "n"])
+            words.clear()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                words[lang].update(words_of(text.as_py()))
-        for lang, c in words.items():
-            grams = word_grams(c, order)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
-
-    summed = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    found = summed.toArrow().to_pydict()
-    for lang, g, n in zip(found["lang"], found["gram"], found["n"]):
-        counts.setdefault(lang, {})[g] = n
-    if not counts:
+            for lang, text, fold in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                words[lang, fold].update(words_of(text.as_py()))
+            if sum(map(len, words.values())) > HELD:
+                yield from handed_on()
+        yield from handed_on()
+
+    each = [F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(2)]
+    found = rows.mapInArrow(count, "lang string, fold int, gram string, n long").groupBy("lang", "gram").agg(*each).toArrow().to_pydict()
+    counts: tuple[dict, dict, dict] = ({}, {}, {})
+    for lang, g, *n in zip(found["lang"], found["gram"], found["n0"], found["n1"]):
+        for held, m in zip(counts, (*n, sum(n))):
+            if m:
+                held.setdefault(lang, {})[g] = m
+    del found
+    if not counts[2]:
         return None
-    model = build(counts, order)
-    scored = score(rest.withColumn("__none", F.lit(0)), model, "__none", "text").filter("lang_pred <> 'und'")
-    for r in scored.groupBy("lang_pred").agg(F.percentile_approx("bits", QUANTILE, F.lit(1000)).alias("q")).collect():
+    model = build(counts[2], order)
+    halves = spark.sparkContext.broadcast([build(c, order) if c else None for c in (counts[1], counts[0])])  # by the fold that they score
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(m) for m in halves.value]
+        for b in batches:
+            folds = b.column(2).to_numpy()
+            for fold, scorer in enumerate(scorers):
+                part = b.filter(pa.array(folds == fold))
+                if part.num_rows and scorer.model:
+                    lang, _, bits, _ = scorer(part.column(1))
+                    known = np.isin(part.column(0).to_numpy(zero_copy_only=False).astype(str), scorer.model.langs) & ~np.isnan(bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(lang[known], pa.string()), pa.array(bits[known])], ["lang_pred", "bits"])
+
+    scored = rows.mapInArrow(bits_of, "lang_pred string, bits double").groupBy("lang_pred").agg(F.percentile_approx("bits", QUANTILE, F.lit(10_000)).alias("q"))
+    for r in scored.collect():
         model.limit[model.langs.index(r[0])] = MARGIN * r[1]
     worst = max((x for x in model.limit if x < math.inf), default=math.inf)
     model.limit = [min(x, worst) for x in model.limit]

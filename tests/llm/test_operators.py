@@ -5,8 +5,10 @@ import hashlib
 import pathlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -589,3 +591,30 @@ def test_split_warc_keeps_what_it_cannot_read():
     parts = list(fixity.split_warc(good + bad + good + b"tail"))
     assert [(a, n, f is None) for a, n, f, _ in parts] == [(0, len(good), False), (len(good), len(bad), True), (2 * len(good), len(good), False), (3 * len(good), 4, True)]
     assert fixity._unpacked(gzip.compress(good) + gzip.compress(bad)) == good + bad and fixity._unpacked(good) == good
+
+
+def test_language_learns_from_all_rows(spark):
+    """Every labelled row's n-grams are in the models, and every row's score is behind the limits."""
+    r = np.random.default_rng(3)
+    made = ["".join(r.choice(list("abcdefghijklmnop" if i % 2 else "lmnopqrstuvwxyzé"), 7)) for i in range(9000)]
+    rows = [(i, f"{w} {'the' if i % 2 else 'der'}", "en" if i % 2 else "de") for i, w in enumerate(made)]
+    docs = spark.createDataFrame([*rows, (1, "qqqq", "de"), (None, "zzzz", "en")], "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, F.lit(True))
+    words = {lang: Counter(w for _, t, x in [*rows, (0, "qqqq", "de"), (0, "zzzz", "en")] if x == lang for w in t.split()) for lang in ("de", "en")}
+    whole = langid.build({k: dict(langid.word_grams(w)) for k, w in words.items()})
+    assert all(np.array_equal(a, b) and np.allclose(x, y, atol=1e-5) for (a, x), (b, y) in zip(model.grams, whole.grams))
+    assert len(model.grams[3][0]) > 30_000
+
+    folded = [(r.lang, r.text, r.fold) for r in docs.select("lang", "text", langid.fold_of(F.col("doc_id")).alias("fold")).collect()]
+    bits: dict = {}
+    for fold in (0, 1):
+        half: dict = {"de": Counter(), "en": Counter()}
+        for lang, text, f in folded:
+            if f != fold:
+                half[lang].update(text.split())
+        scorer = langid.Scorer(langid.build({k: dict(langid.word_grams(w)) for k, w in half.items()}))
+        lang, _, b, _ = scorer(pa.array([t for _, t, f in folded if f == fold]))
+        for x, y in zip(lang, b):
+            bits.setdefault(x, []).append(y)
+    assert sum(map(len, bits.values())) == 9002
+    assert model.limit == pytest.approx([langid.MARGIN * float(np.quantile(bits[k], langid.QUANTILE)) for k in ("de", "en")], rel=1e-3)
