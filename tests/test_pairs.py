@@ -107,3 +107,26 @@ def test_aligned_distances_equal_plain_loops(spark):
     assert D.extreme_pair(aln.limit(0), "max").first().dist is None
     counts = {(x.name1, x.name2): x for x in D.pair_counts(aln, blocks=3).collect()}
     assert all(counts[i, j].n_02 == sum(x == "T" and y == "A" for x, y in zip(rows[i], rows[j])) for i, j in want)
+
+
+@pytest.mark.parametrize("width", [1, 63, 64, 65, 300])
+def test_letters_meet_as_bits(width):
+    """Counts of any width in small integers, of letters and of groups of letters."""
+    r = np.random.default_rng(width)
+    x, y = r.integers(0, 5, (7, width)), r.integers(0, 5, (11, width))
+    m = D.Meetings(D.letter_bits(x, 4), D.letter_bits(y, 4))
+    assert (m.count([[1]], [[3]]) == [[((a == 2) & (b == 4)).sum() for b in y] for a in x]).all()
+    assert (m.valid(4) == [[((a > 0) & (b > 0)).sum() for b in y] for a in x]).all()
+    assert (m.same(4) == [[((a > 0) & (a == b)).sum() for b in y] for a in x]).all()
+    full = D.letter_bits(np.full((2, width), 4), 4)
+    assert (D.Meetings(full, full).count([range(4)], [range(4)]) == width).all()
+    assert D.Meetings(full[:, :, :0], full[:, :, :0]).valid(4).tolist() == [[0, 0], [0, 0]]
+
+
+@pytest.mark.parametrize("width", [64, 72, 200])
+def test_paralinear_is_exact_at_its_largest_counts(spark, width):
+    """The letters in equal parts, where determinants in 4-byte floats are largest; and one letter throughout."""
+    rows = [("TCAG" * width)[:width], ("TTTTCCCCAAAAGGGG" * width)[:width], "T" * width, "".join(np.random.default_rng(2).permutation(list(("TCAG" * width)[:width])))]
+    aln = spark.createDataFrame([(i, i, s) for i, s in enumerate(rows)], "name long, ord int, seq string")
+    for x in D.paralinear(aln).collect():
+        assert x.dist == pytest.approx(_plain(rows[x.name1], rows[x.name2])["paralinear"], nan_ok=True, abs=1e-9), x
