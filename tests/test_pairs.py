@@ -130,3 +130,41 @@ def test_paralinear_is_exact_at_its_largest_counts(spark, width):
     aln = spark.createDataFrame([(i, i, s) for i, s in enumerate(rows)], "name long, ord int, seq string")
     for x in D.paralinear(aln).collect():
         assert x.dist == pytest.approx(_plain(rows[x.name1], rows[x.name2])["paralinear"], nan_ok=True, abs=1e-9), x
+
+
+#: Distances that are summed in a faster way when they are rounded.
+FASTER = ["canberra"]
+
+
+def _odd_rows() -> np.ndarray:
+    """Amounts with copies, all but equal rows, rows of zeros, tiny and large ones, and such whose distances lie at half a digit."""
+    r = np.random.default_rng(12)
+    x = np.where(r.random((90, 8)) < 0.3, 0, r.random((90, 8)).astype(np.float32).astype(float))
+    grid = np.zeros((30, 8))
+    grid[:, 0], grid[:, 1] = 0.5, np.arange(30) * 0.5e-2  # distances of a half at 2 digits
+    return np.concatenate([x, x[:20], x[:20] * (1 + 1e-9), x[:20] + 1e-7 * (x[:20] > 0), grid, np.eye(8) * 3, x[:3] * 1e-6])
+
+
+@pytest.mark.parametrize("name", FASTER)
+def test_faster_sums_round_as_plain_ones(name):
+    """To the bit, at any number of digits, and where the faster sums don't apply."""
+    f = vecdist.METRICS[name]
+    rows, special = _odd_rows(), np.array([[np.nan] * 8, [np.inf] + [1.0] * 7, [-1.0, 1] * 4, [0.0] * 8, [1e300] * 8, [5e-324] * 8])
+    sides = [(rows, rows), (rows[:1], rows), (rows[:7], np.concatenate([rows[7:], special])), (np.concatenate([special, rows[:5]]), rows), (rows * 1e4, rows * 1e4), (rows[:, :0], rows[:5, :0])]
+    prepare, to = getattr(f, "prepare", lambda x: x), getattr(f, "f", f).to
+    with np.errstate(all="ignore"):
+        for x, y in sides:
+            for digits in (0, 1, 2, 5, 9, 14):
+                plain, got = f(x, y), to(prepare(x), prepare(y), digits)
+                a, b = blocks.rounded(plain, digits), blocks.rounded(got, digits)
+                assert np.array_equal(np.isnan(a), np.isnan(b)) and (a[~np.isnan(a)].view(np.int64) == b[~np.isnan(b)].view(np.int64)).all(), digits
+
+
+@pytest.mark.parametrize("name", FASTER)
+def test_faster_sums_are_used(name, monkeypatch):
+    """Of rows that are well apart, nearly no pair needs the plain sum."""
+    f = vecdist.METRICS[name]
+    f = getattr(f, "f", f)
+    monkeypatch.setattr(vecdist, "_sum_of", lambda *_: pytest.fail("plain sums"))
+    x = np.random.default_rng(3).random((300, 64)).astype(np.float32).astype(float)
+    assert f.to(x[:100], x[100:], 5).shape == (100, 200)
