@@ -133,7 +133,7 @@ def test_paralinear_is_exact_at_its_largest_counts(spark, width):
 
 
 #: Distances that are summed in a faster way when they are rounded.
-FASTER = ["canberra", "soergel", "bray_curtis", "euclidean", "chord", "hellinger"]
+FASTER = ["canberra", "soergel", "bray_curtis", "euclidean", "chord", "hellinger", "specprof"]
 
 
 def _odd_rows() -> np.ndarray:
