@@ -118,6 +118,7 @@ def test_letters_meet_as_bits(width):
     assert (m.count([[1]], [[3]]) == [[((a == 2) & (b == 4)).sum() for b in y] for a in x]).all()
     assert (m.valid(4) == [[((a > 0) & (b > 0)).sum() for b in y] for a in x]).all()
     assert (m.same(4) == [[((a > 0) & (a == b)).sum() for b in y] for a in x]).all()
+    assert (m.diffs(4) == [[((a > 0) & (b > 0) & (a != b)).sum() for b in y] for a in x]).all()
     full = D.letter_bits(np.full((2, width), 4), 4)
     assert (D.Meetings(full, full).count([range(4)], [range(4)]) == width).all()
     assert D.Meetings(full[:, :, :0], full[:, :, :0]).valid(4).tolist() == [[0, 0], [0, 0]]
