@@ -169,3 +169,12 @@ def test_faster_sums_are_used(name, monkeypatch):
     monkeypatch.setattr(vecdist, "_sum_of", lambda *_: pytest.fail("plain sums"))
     x = np.random.default_rng(3).random((300, 64)).astype(np.float32).astype(float)
     assert f.to(x[:100], x[100:], 5).shape == (100, 200)
+
+
+def test_rank_distances_are_exact_in_4_bytes():
+    r = np.random.default_rng(4)
+    for n in (2, 64, 161, 162, 400):
+        x = vecdist.ranks(r.integers(0, n, (6, n)).astype(float))
+        x[0] = np.arange(1, n + 1)
+        want = [[6 * ((p - q) ** 2).sum() / (n * (n * n - 1)) for q in x] for p in x]
+        assert (vecdist._rank_apart(x, x) == want).all()
