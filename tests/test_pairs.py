@@ -171,6 +171,31 @@ def test_faster_sums_are_used(name, monkeypatch):
     assert f.to(x[:100], x[100:], 5).shape == (100, 200)
 
 
+#: Distances that leave their kernel rounded.
+DONE = ["hellinger"]
+
+
+@pytest.mark.parametrize("name", DONE)
+def test_done_distances_are_rounded_as_plain_ones(name):
+    """To the bit, with copies, rows of zeros, special rows and distances at half a digit; a second rounding isn't needed."""
+    f = vecdist.METRICS[name]
+    rows, special = _odd_rows(), np.array([[np.nan] * 8, [np.inf] + [1.0] * 7, [0.0] * 8, [1e300] * 8, [5e-324] * 8])
+    with np.errstate(all="ignore"):
+        for x, y in [(rows, rows), (rows[:7], np.concatenate([rows[7:], special])), (special, rows), (rows * 1e4, rows * 1e4), (rows[:, :0], rows[:5, :0])]:
+            for digits in (0, 1, 2, 5, 9, 14):
+                a, b = blocks.rounded(f(x, y), digits), f.f.to(f.prepare(x), f.prepare(y), digits, True)
+                assert np.array_equal(np.isnan(a), np.isnan(b)) and (a[~np.isnan(a)].view(np.int64) == b[~np.isnan(b)].view(np.int64)).all(), digits
+
+
+@pytest.mark.parametrize("name", DONE)
+def test_pairs_need_no_second_rounding_nor_null_checks(spark, monkeypatch, name):
+    """What leaves a task: columns without nulls, so that no row is asked for them, and distances that by_blocks doesn't round again."""
+    asked = []
+    monkeypatch.setattr(vecdist, "by_blocks", lambda *a, digits=None, **k: asked.append(digits) or blocks.by_blocks(*a, digits=digits, **k))
+    df = registry.QUERIES[f"vecdist_{name}"](spark, SF)
+    assert asked == [None] and [(f.name, f.nullable) for f in df.schema] == [("name1", False), ("name2", False), ("dist", False)]
+
+
 def test_rank_distances_are_exact_in_4_bytes():
     r = np.random.default_rng(4)
     for n in (2, 64, 161, 162, 400):
