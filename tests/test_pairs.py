@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.operators import blocks, vecdist
@@ -196,6 +197,45 @@ def test_pairs_need_no_second_rounding_nor_null_checks(spark, monkeypatch, name)
     assert asked == [None] and [(f.name, f.nullable) for f in df.schema] == [("name1", False), ("name2", False), ("dist", False)]
 
 
+@pytest.mark.parametrize("name", DONE)
+def test_one_product_rounds_as_plain_sums(name):
+    """To the bit, of rows that bring their squares; without rows of zeros, too, as such a row sends its whole tile the longer way."""
+    f = vecdist.METRICS[name]
+    rows, special = _odd_rows(), np.array([[np.nan] * 8, [np.inf] + [1.0] * 7, [-1.0, 1] * 4, [0.0] * 8, [1e300] * 8, [5e-324] * 8])
+    some = rows[rows.any(1)]
+    with np.errstate(all="ignore"):
+        for x, y in [(some, some), (rows, rows), (some[:7], np.concatenate([some[7:], special])), (special, some), (some[:1], some * 1e4), (rows[:, :0], rows[:5, :0])]:
+            for digits in (0, 1, 2, 5, 9, 14):
+                a = blocks.rounded(f(x, y), digits)
+                b = vecdist.done_apart(f.f, vecdist.with_squares(f.prepare(x)), vecdist.with_squares(f.prepare(y)), digits)
+                assert np.array_equal(np.isnan(a), np.isnan(b)) and (a[~np.isnan(a)].view(np.int64) == b[~np.isnan(b)].view(np.int64)).all(), digits
+
+
+@pytest.mark.parametrize("name", DONE)
+def test_query_rounds_in_few_steps(spark, monkeypatch, name):
+    """Of rows that are well apart, the kernel that a query hands over needs neither the longer way nor plain sums."""
+    handed = []
+    monkeypatch.setattr(vecdist, "by_blocks", lambda *a, **k: handed.append(a[1:3]) or blocks.by_blocks(*a, **k))
+    registry.QUERIES[f"vecdist_{name}"](spark, SF)
+    load, kernel = handed[0]
+    x = np.random.default_rng(3).random((300, 64)).astype(np.float32).astype(float)
+    sides = [load(pa.table({"v": list(v)})) for v in (x[:100], x[100:])]
+    want = blocks.rounded(vecdist.METRICS[name](x[:100], x[100:]), 5)
+    monkeypatch.setattr(vecdist, "_settled", lambda *_: pytest.fail("longer way"))
+    monkeypatch.setattr(vecdist, "_sum_of", lambda *_: pytest.fail("plain sums"))
+    assert (kernel(*sides)[0] == want).all()
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 16])
+def test_short_tasks_come_last(spark, n):
+    """Each pair of blocks has its own number, and those of a block with itself, half the work, have the highest."""
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    got = spark.createDataFrame(pairs, "i int, j int").selectExpr("i", "j", f"{blocks.pair_number('i', 'j', n)} AS g").collect()
+    assert sorted(x.g for x in got) == list(range(len(pairs)))
+    assert {x.i for x in got if x.g >= n * (n - 1) // 2 and x.i == x.j} == set(range(n))
+    assert blocks.number_of_blocks(51_282, 512, 6) == 8
+
+
 def test_rank_distances_are_exact_in_4_bytes():
     r = np.random.default_rng(4)
     for n in (2, 64, 161, 162, 400):
