@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from strandline.operators import blocks, vecdist
@@ -134,6 +135,28 @@ def test_paralinear_is_exact_at_its_largest_counts(spark, width):
         assert x.dist == pytest.approx(_plain(rows[x.name1], rows[x.name2])["paralinear"], nan_ok=True, abs=1e-9), x
 
 
+def _bytes_a_row(df, out) -> dict[str, float]:
+    """Of each column, as Spark writes Parquet."""
+    df.write.parquet(str(out))
+    n, size = 0, {}
+    for f in out.glob("*.parquet"):
+        m = pq.read_metadata(f)
+        n += m.num_rows
+        for g in range(m.num_row_groups):
+            for c in range(m.num_columns):
+                x = m.row_group(g).column(c)
+                size[x.path_in_schema] = size.get(x.path_in_schema, 0) + x.total_compressed_size
+    return {k: v / n for k, v in size.items()}
+
+
+def test_paralinear_names_take_few_bytes(spark, tmp_path):
+    """A tile is as wide as names are found again soon."""
+    r = np.random.default_rng(1)
+    aln = spark.createDataFrame([(i, i, "".join(x)) for i, x in enumerate(r.choice(list("TCAG"), (3000, 8)))], "name long, ord int, seq string")
+    size = _bytes_a_row(D.paralinear(aln, blocks=2), tmp_path / "out")
+    assert size["name1"] + size["name2"] < 0.3, size
+
+
 #: Distances that are summed in a faster way when they are rounded.
 FASTER = ["canberra", "soergel", "bray_curtis", "euclidean", "chord", "hellinger", "specprof"]
 
