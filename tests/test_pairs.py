@@ -157,6 +157,29 @@ def test_paralinear_names_take_few_bytes(spark, tmp_path):
     assert size["name1"] + size["name2"] < 0.3, size
 
 
+def _written(out) -> np.ndarray:
+    """Pairs in order, a line of two names and a distance each."""
+    t = pq.read_table(str(out))
+    return np.array(sorted(zip(*(t[k].to_numpy() for k in ("name1", "name2", "dist")))))
+
+
+@pytest.mark.parametrize("name", ["pearson"])
+def test_rounded_distances_of_many_values_take_few_bytes(spark, tmp_path, name):
+    """Plain doubles, 8 bytes each, before; every pair is there once, with its value, whatever leaves first."""
+    x = np.abs(np.random.default_rng(2).normal(size=(2400, 64)))
+    x[7], x[8] = np.nan, x[9]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "name long, v array<double>")
+    size = _bytes_a_row(vecdist.pairwise(df, name, block=1200, digits=5), tmp_path / "out")
+    assert size["dist"] < 4, size
+    got = _written(tmp_path / "out")
+    i, j = np.triu_indices(len(x), 1)
+    with np.errstate(invalid="ignore"):
+        want = blocks.rounded(vecdist.METRICS[name](x, x)[i, j], 5)
+    assert (got[:, :2] == np.stack([i, j], 1)).all()
+    apart = np.abs(got[:, 2] - want)
+    assert (np.isnan(got[:, 2]) == np.isnan(want)).all() and np.nanmax(apart) < 1.1e-5 and (apart > 1e-9).sum() < 10  # products of matrices round apart at half a digit
+
+
 #: Distances that are summed in a faster way when they are rounded.
 FASTER = ["canberra", "soergel", "bray_curtis", "euclidean", "chord", "hellinger", "specprof"]
 
