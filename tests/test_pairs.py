@@ -163,10 +163,10 @@ def _written(out) -> np.ndarray:
     return np.array(sorted(zip(*(t[k].to_numpy() for k in ("name1", "name2", "dist")))))
 
 
-@pytest.mark.parametrize("name", ["pearson"])
+@pytest.mark.parametrize("name", ["pearson", "manhattan"])
 def test_rounded_distances_of_many_values_take_few_bytes(spark, tmp_path, name):
     """Plain doubles, 8 bytes each, before; every pair is there once, with its value, whatever leaves first."""
-    x = np.abs(np.random.default_rng(2).normal(size=(2400, 64)))
+    x = np.abs(np.random.default_rng(2).normal(size=(2400, 64))) / 10
     x[7], x[8] = np.nan, x[9]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "name long, v array<double>")
     size = _bytes_a_row(vecdist.pairwise(df, name, block=1200, digits=5), tmp_path / "out")
@@ -178,6 +178,49 @@ def test_rounded_distances_of_many_values_take_few_bytes(spark, tmp_path, name):
     assert (got[:, :2] == np.stack([i, j], 1)).all()
     apart = np.abs(got[:, 2] - want)
     assert (np.isnan(got[:, 2]) == np.isnan(want)).all() and np.nanmax(apart) < 1.1e-5 and (apart > 1e-9).sum() < 10  # products of matrices round apart at half a digit
+    assert name != "manhattan" or np.nanmax(apart) == 0
+
+
+def test_cuts_part_values_for_dictionaries():
+    """As few bands as hold the values, the most usual ones together; none for few values or far too many."""
+    r = np.random.default_rng(3)
+    d = np.concatenate([r.normal(5, 0.5, 100_000), [np.nan, np.inf]])
+    low, high = blocks.cuts_between(d, 5)
+    assert high - low == pytest.approx(blocks.VALUES / 1e5) and ((d >= low) & (d < high)).mean() > 0.7
+    assert blocks.cuts_between(d, 4) == blocks.cuts_between(d, 7) == blocks.cuts_between(d[:0], 5) == blocks.cuts_between(d[-2:], 5) == []
+    assert len(blocks.cuts_between(r.random(1000) * 2, 5)) == 1
+
+
+def test_bands_keep_all_pairs(spark):
+    """Values at the cuts, below, above and none, of names that repeat: once each."""
+    names, x = [*range(300), 7, None], np.random.default_rng(4).integers(0, 3, 302).astype(float)
+    x[11] = np.nan
+    df = spark.createDataFrame(list(zip(names, x.tolist())), "name long, v double")
+    load, kernel = (lambda t: t["v"].to_numpy()), (lambda a, b: [np.abs(a[:, None] - b[None, :])])
+    rows = [blocks.by_blocks(df, load, kernel, {"dist": "double"}, 3, digits=2, opening=c != (), cuts=c).collect() for c in ((), (1.0,), (0.5, 1.0, 2.0))]
+    whole, *parted = [sorted((r.name1, r.name2, str(r.dist)) for r in made) for made in rows]
+    assert len(whole) == 301 * 300 // 2 - 1 and parted == [whole, whole]
+    assert {str(r.dist) for r in rows[0]} == {"0.0", "1.0", "2.0", "nan"}
+
+
+def test_manhattan_sums_whole_numbers():
+    """To the bit as plain sums round, rounded already or not."""
+    test_faster_sums_round_as_plain_ones("manhattan")
+    rows, special = _odd_rows(), np.array([[np.nan] * 8, [np.inf] + [1.0] * 7, [-1.0, 1] * 4, [0.0] * 8, [1e300] * 8, [5e-324] * 8])
+    with np.errstate(all="ignore"):
+        for x, y in [(rows, rows), (rows[:7], np.concatenate([rows[7:], special])), (special, rows), (rows[:, :0], rows[:5, :0]), (np.zeros((3, 8)), rows)]:
+            for digits in (0, 2, 5, 9):
+                a, b = blocks.rounded(vecdist.manhattan(x, y), digits), vecdist.manhattan_to(x, y, digits, True)
+                assert np.array_equal(a, b, equal_nan=True), digits
+
+
+def test_manhattan_needs_no_plain_sums(monkeypatch):
+    """Of amounts as the query has them: of 4 bytes, with a total below 8."""
+    monkeypatch.setattr(vecdist, "_sum_of", lambda *_: pytest.fail("plain sums"))
+    x = np.abs(np.random.default_rng(3).normal(size=(300, 64)))
+    x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32).astype(float)
+    x[x < 0.05] = 0
+    assert vecdist.manhattan_to(x[:100], x[100:], 5, True).shape == (100, 200)
 
 
 #: Distances that are summed in a faster way when they are rounded.
